@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import licenses, ngram_join, sharding, spherical_caps, winnowing
 from .common import documents
 
 
@@ -13,6 +13,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_caps.cap_near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(documents(spark, sf_dir))
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.decontamination_report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_spherical_caps, op2_ngram_jaccard_join, op6_sampled_splitters, op7_winnowing, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
