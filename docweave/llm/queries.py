@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, licenses, ngram_join, sharding, spherical_caps, winnowing
+from . import kneser_ney, licenses, ngram_join, pu_quality, sharding, spherical_caps, winnowing
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical_caps.cap_near_duplicates(documents(spark, sf_dir, "embeddings"))
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality_report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir))
 
@@ -33,6 +37,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_spherical_caps, op2_ngram_jaccard_join, op6_sampled_splitters, op7_winnowing, op9_kneser_ney, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_spherical_caps, op2_ngram_jaccard_join, op4_pu_quality, op6_sampled_splitters, op7_winnowing, op9_kneser_ney, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
