@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, licenses, ngram_join, pu_quality, sharding, spherical_caps, winnowing
+from . import kneser_ney, licenses, mixing, ngram_join, pu_quality, sharding, spherical_caps, winnowing
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontamination_report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.language_report(documents(spark, sf_dir))
 
@@ -37,6 +41,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_spherical_caps, op2_ngram_jaccard_join, op4_pu_quality, op6_sampled_splitters, op7_winnowing, op9_kneser_ney, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_spherical_caps, op2_ngram_jaccard_join, op4_pu_quality, op6_sampled_splitters, op7_winnowing, op8_soft_mixing, op9_kneser_ney, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
