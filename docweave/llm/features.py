@@ -35,6 +35,8 @@ NAMES = (
     "line_words",
     "line_repeats",
     "long_words",
+    "repeated_next",
+    *(f"log_{n}" for n in ("repeated_next", "words_with_marks", "words_of_marks", "words_all_upper")),
 )
 
 
@@ -77,6 +79,11 @@ def text_stats(column: pa.Array):
         new = np.bincount(kept_row[_fresh(kept_row, line_hash)], minlength=n) if len(kept_row) else np.zeros(n)
         cols.append(1 - new / np.maximum(own, 1) * (own > 0) - (own == 0))
         cols.append(_per_row(ends - starts > 24, first) / some)
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+        cols.append(_per_row(again, first) / some)
+        # counts too, for a passage of another kind within a long text
+        cols += [np.log1p(_per_row(x, first)) for x in (again, marks > 0, letters == 0, (upper > 1) & (upper == letters))]
         yield i, np.stack(cols, 1).astype(np.float32), h, first
 
 
