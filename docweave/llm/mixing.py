@@ -26,7 +26,7 @@ TARGETS = {"clean": 0.98, "toxic": 0.01, "low_quality": 0.01}
 #: Bound on the labelled rows that the classifier is fitted on, drawn by a hash of doc_id.
 SAMPLE = 20_000
 #: Hash slots in which words are told apart, and how many of them, the most telling, become features.
-SLOTS, PIECES, CHOSEN = 1 << 16, 64, 192
+SLOTS, PIECES, CHOSEN = 1 << 18, 64, 192
 #: Most steps of the descent, and the largest error of a domain, as a share of its tokens, at which it stops.
 STEPS, ENOUGH = 40, 1e-4
 #: Rates this close to a whole number are taken as that number.
@@ -34,7 +34,7 @@ ROUND = 0.02
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(48)).astype(np.int64)
+    return (h >> np.uint64(46)).astype(np.int64)
 
 
 def _presence(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +125,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     # at most 1.2 SAMPLE rows of 16 bytes
     rows = docs.join(F.broadcast(known.select("doc_id", domain.alias("d"))), "doc_id").select("text", "d")
     counts = add_sketches(rows.mapInArrow(_slot_counts, "piece int, counts binary"), SLOTS * len(DOMAINS), PIECES * len(DOMAINS)).reshape(len(DOMAINS), SLOTS)
-    n = counts.sum(0)
-    size = np.maximum(counts.max(1), 1)
-    expected = n[None, :] * (size / size.sum())[:, None]
-    chi = ((counts - expected) ** 2 / np.maximum(expected, 1)).sum(0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:CHOSEN])
+    chosen: set[int] = set()
+    for k in range(len(DOMAINS)):  # those that tell a domain from the rest, by chi-square over document counts
+        inside, outside = counts[k], counts.sum(0) - counts[k]
+        n_in, n_out = max(1, inside.max()), max(1, outside.max())
+        expected = (inside + outside) * (n_in / (n_in + n_out))
+        chi = (inside - expected) ** 2 / np.maximum(expected, 1)
+        chosen.update(np.argsort(-chi, kind="stable")[: CHOSEN // len(DOMAINS)].tolist())
+    chosen = np.array(sorted(chosen))
     sample = rows.mapInArrow(_sample_rows(chosen), "d long, x binary, w binary").limit(2 * SAMPLE).collect()
     if not sample:
         return None
@@ -139,19 +142,19 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     return Classifier(chosen, d, x, w.astype(np.float32))
 
 
-def _rate(errors: list[np.ndarray]) -> Column:
-    """A document's rate after the steps with these errors: 1, less posterior times error, never below 0."""
+def _rate(errors: list[np.ndarray], most: float) -> Column:
+    """A document's rate after the steps with these errors: 1, less posterior times error, kept within 0 and ``most``."""
     sql = "1D"
     for e in errors:
-        sql = f"greatest(0D, {sql} - ({' + '.join(f'p_{x} * {float(v)!r}D' for x, v in zip(DOMAINS, e))}))"
+        sql = f"least({float(most)!r}D, greatest(0D, {sql} - ({' + '.join(f'p_{x} * {float(v)!r}D' for x, v in zip(DOMAINS, e))})))"
     return F.expr(sql)
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, p_<domain>, rate, copies, row_hash.
 
     Targets are shares of the expected tokens; the whole is as large as the scarcest domain, against its
-    target, allows at rate 1, so no document needs to be repeated. A text that is null or empty has no
+    target, allows at rate 1, so no document needs to be repeated; ``most`` bounds the rates. A text that is null or empty has no
     tokens and keeps rate by its posterior; without labels every document is clean. copies is the whole part
     of rate, and one more by a hash of doc_id and text against its fraction: repeated rows agree.
     """
@@ -175,11 +178,11 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     goal = np.where(have > 0, np.minimum(want * whole, have), 0.0)
     errors: list[np.ndarray] = []
     for _ in range(STEPS):
-        off = (totals(_rate(errors)) - goal) / np.maximum(have, 1.0)
-        if np.abs(off).max() < ENOUGH:
-            break
+        off = (totals(_rate(errors, most)) - goal) / np.maximum(have, 1.0)
+        if np.abs(off).max() < ENOUGH or (errors and np.abs(off - errors[-1]).max() < ENOUGH / 10):
+            break  # on target, or as near as the bound on the rates allows
         errors.append(off)
-    rate = _rate(errors)
+    rate = _rate(errors, most)
     rate = F.when(F.abs(rate - F.round(rate)) <= ROUND, F.round(rate)).otherwise(rate)
     part = F.pmod(F.xxhash64("row_hash"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return rows.withColumn("rate", F.round(rate, 6)).withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
