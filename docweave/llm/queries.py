@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, licenses, mixing, ngram_join, pseudonyms, pu_quality, sharding, spherical_caps, winnowing
+from . import kneser_ney, licenses, main_text, mixing, ngram_join, pseudonyms, pu_quality, sharding, spherical_caps, winnowing
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical_caps.cap_near_duplicates(documents(spark, sf_dir, "embeddings"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(documents(spark, sf_dir, "pages"))
+
+
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality_report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -45,6 +49,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_spherical_caps, op2_ngram_jaccard_join, op4_pu_quality, op5_feistel_pseudonyms, op6_sampled_splitters, op7_winnowing, op8_soft_mixing, op9_kneser_ney, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_spherical_caps, op2_ngram_jaccard_join, op3_main_text, op4_pu_quality, op5_feistel_pseudonyms, op6_sampled_splitters, op7_winnowing, op8_soft_mixing, op9_kneser_ney, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
