@@ -29,6 +29,8 @@ SAMPLE = 20_000
 SLOTS, PIECES, CHOSEN = 1 << 18, 64, 192
 #: Most steps of the descent, and the largest error of a domain, as a share of its tokens, at which it stops.
 STEPS, ENOUGH = 40, 1e-4
+#: Steps after which the rates are written down.
+WRITTEN = 6
 #: Rates this close to a whole number are taken as that number.
 ROUND = 0.02
 
@@ -143,8 +145,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
 
 
 def _rate(errors: list[np.ndarray], most: float) -> Column:
-    """A document's rate after the steps with these errors: 1, less posterior times error, kept within 0 and ``most``."""
-    sql = "1D"
+    """A document's rate after further steps with these errors: less posterior times error, kept within 0 and ``most``."""
+    sql = "rate"
     for e in errors:
         sql = f"least({float(most)!r}D, greatest(0D, {sql} - ({' + '.join(f'p_{x} * {float(v)!r}D' for x, v in zip(DOMAINS, e))})))"
     return F.expr(sql)
@@ -164,7 +166,8 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     source = docs.select(null_safe(docs, "doc_id", "long"), null_safe(docs, "text", "string"))
     model = spark.sparkContext.broadcast(fit_classifier(source, labels))
     schema = "doc_id long, n_tokens long, row_hash long, " + ", ".join(f"p_{x} double" for x in DOMAINS)
-    rows = scratch.keep(source.withColumn("row_hash", F.xxhash64("doc_id", "text")).mapInArrow(_posteriors(model), schema))
+    rows = source.withColumn("row_hash", F.xxhash64("doc_id", "text")).mapInArrow(_posteriors(model), schema)
+    rows = scratch.keep(rows.withColumn("rate", F.lit(1.0)))
 
     def totals(rate):
         r = rows.agg(*[F.coalesce(F.sum(F.col("n_tokens") * rate * F.col(f"p_{x}")), F.lit(0.0)) for x in DOMAINS]).first()
@@ -177,11 +180,15 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     whole = (have[usable] / want[usable]).min() if usable.any() else 0.0
     goal = np.where(have > 0, np.minimum(want * whole, have), 0.0)
     errors: list[np.ndarray] = []
+    before = np.full(len(DOMAINS), np.inf)
     for _ in range(STEPS):
         off = (totals(_rate(errors, most)) - goal) / np.maximum(have, 1.0)
-        if np.abs(off).max() < ENOUGH or (errors and np.abs(off - errors[-1]).max() < ENOUGH / 10):
+        if np.abs(off).max() < ENOUGH or np.abs(off - before).max() < ENOUGH / 10:
             break  # on target, or as near as the bound on the rates allows
+        before = off
         errors.append(off)
+        if len(errors) == WRITTEN:  # keeps the expression short
+            rows, errors = scratch.keep(rows.withColumn("rate", _rate(errors, most))), []
     rate = _rate(errors, most)
     rate = F.when(F.abs(rate - F.round(rate)) <= ROUND, F.round(rate)).otherwise(rate)
     part = F.pmod(F.xxhash64("row_hash"), F.lit(1 << 40)) / F.lit(float(1 << 40))
