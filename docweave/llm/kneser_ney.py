@@ -17,7 +17,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, null_safe
@@ -29,10 +29,7 @@ ORDER = 4
 MAX_GRAMS = 100_000
 #: Share of training texts whose best cross-entropy counts as too high.
 REJECT = 0.002
-#: Bits of the steps in which cross-entropies of training texts are counted for calibration.
-_STEPS = 400
 
-_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SALT = [np.uint64((0x9E3779B97F4A7C15 * (n + 1)) & (2**64 - 1)) for n in range(ORDER + 1)]
 _C1 = np.uint64(0xD6E8FEB86659FD93)
@@ -233,31 +230,15 @@ def _few(column: pa.Array, limit: int = 4 << 20):
         i = j
 
 
-def _calibrate(model):
-    """Per language of the training texts how many have which cross-entropy by it, in steps of 1/40 nat."""
+def _score(model):
+    """Per row of (doc_id, text, lang): the prediction, its score, the best cross-entropy, and that of ``lang``."""
 
-    def run(batches):
-        out = np.zeros((len(model.value.langs), _STEPS), np.int64)
-        at = {x: i for i, x in enumerate(model.value.langs)}
-        for b in batches:
-            langs = b.column(1).to_pylist()
-            for i, texts in _few(b.column(0)):
-                h, places = model.value.entropies(texts)
-                for r in np.flatnonzero(places > 0).tolist():
-                    if (k := at.get(langs[i + r])) is not None:
-                        out[k, min(_STEPS - 1, int(h[r, k] * 40))] += 1
-        k, s = np.nonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.int32()), pa.array(out[k, s])], ["k", "s", "n"])
-
-    return run
-
-
-def _predict(model, limits):
     def run(batches):
         m = model.value
+        at = {x: i for i, x in enumerate(m.langs)}
         for b in batches:
-            pred, score, rejected, best = [], [], [], []
-            for _, texts in _few(b.column(1)):
+            langs, pred, score, best, own = b.column(2).to_pylist(), [], [], [], []
+            for i, texts in _few(b.column(1)):
                 h, places = m.entropies(texts)
                 if not m.langs:
                     h = np.zeros((len(texts), 1))
@@ -265,26 +246,32 @@ def _predict(model, limits):
                 p /= p.sum(1, keepdims=True)
                 k = h.argmin(1)
                 for r, t in enumerate(texts):
-                    known = bool(m.langs) and bool(t) and _LETTER.search(t) is not None
+                    known = bool(m.langs) and bool(t) and places[r] > 0
                     pred.append(m.langs[k[r]] if known else "und")
                     score.append(float(p[r, k[r]]) if known else 0.0)
                     best.append(float(h[r, k[r]]) if known else None)
-                    rejected.append(not known or h[r, k[r]] > limits[m.langs[k[r]]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+                    own.append(float(h[r, at[langs[i + r]]]) if known and langs[i + r] in at else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64()), b.column(2), pa.array(own, pa.float64())], ["doc_id", "lang_pred", "score", "cross_entropy", "lang", "own"]
+            )
 
     return run
 
 
-def identify_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
+def identify_languages(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score, cross_entropy, rejected.
 
-    ``training`` gives text and lang; rows without either teach nothing. lang_pred is ``und`` for a
-    null text, one without a letter, or where nothing was learned; score is the winner's share
-    (0 to 1) among the languages. Ties go to the first language in order. Rows are judged on their own.
+    Rows that meet ``learn`` teach, if they have text and lang. lang_pred is ``und`` for a null text, one without a
+    letter, or where nothing was learned; score is the winner's share (0 to 1) among the languages. rejected: the
+    best cross-entropy is higher than all but ``REJECT`` of the teaching rows of that language have by their own model.
+    Ties go to the first language in order. Rows are judged on their own.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    known = training.select(null_safe(training, "text", "string"), null_safe(training, "lang", "string")).where("text is not null and lang is not null")
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    lang = null_safe(docs, "lang", "string")
+    source = docs.select(null_safe(docs, "doc_id", "long"), null_safe(docs, "text", "string"), F.when(learn, lang).alias("lang"))
+    known = source.select("text", "lang").where("text is not null and lang is not null")
     counts = known.mapInArrow(_count, "lang string, n int, gram long, context long, suffix long, count long")
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"), F.first("context").alias("context"), F.first("suffix").alias("suffix"))
     counts = scratch.keep(counts)
@@ -293,22 +280,17 @@ def identify_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
     for lang, n in over:  # keep the most frequent: a threshold by quantile over all n-grams
         cut = counts.where((F.col("lang") == lang) & (F.col("n") == n)).approxQuantile("count", [1 - MAX_GRAMS / sizes[lang, n]], 0.001)[0]
         counts = counts.where(~((F.col("lang") == lang) & (F.col("n") == n) & (F.col("count") <= cut)))
-    fitted = Model.fit(counts)
-    model = spark.sparkContext.broadcast(fitted)
-    seen = known.mapInArrow(_calibrate(model), "k int, s int, n long").groupBy("k", "s").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros((len(fitted.langs), _STEPS), np.int64)
-    for r in seen:
-        table[r.k, r.s] = r.n
-    limits = {}
-    for k, lang in enumerate(fitted.langs):
-        share = np.cumsum(table[k]) / max(1, table[k].sum())
-        limits[lang] = float((np.searchsorted(share, 1 - REJECT) + 1) / 40)
-    source = docs.select(null_safe(docs, "doc_id", "long"), null_safe(docs, "text", "string"))
-    return source.mapInArrow(_predict(model, limits), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    model = spark.sparkContext.broadcast(Model.fit(counts))
+    scored = scratch.keep(source.mapInArrow(_score(model), "doc_id long, lang_pred string, score double, cross_entropy double, lang string, own double"))
+    limits = scored.where("own is not null").groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("own", 1 - REJECT, 10_000).alias("limit")).collect()
+    limit = F.lit(None).cast("double")
+    for r in limits:
+        limit = F.when(F.col("lang_pred") == r.of, F.lit(float(r.limit))).otherwise(limit)
+    return scored.select("doc_id", "lang_pred", "score", "cross_entropy", F.coalesce(F.col("cross_entropy") > limit, F.lit(True)).alias("rejected"))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     """The folds of the registered query: rows whose crc32(doc_id) mod 4 is 2 teach nothing."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    out = identify_languages(docs, docs.where(fold != 2))
+    out = identify_languages(docs, fold != 2)
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
