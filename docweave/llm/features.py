@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .textbytes import LOWER, NOT_SPACE, row_windows, slices, span_hashes, word_spans
+from .textbytes import LOWER, NOT_SPACE, distinct_per_row, row_windows, slices, span_hashes, word_spans
 
 
 def _table(*ranges) -> np.ndarray:
@@ -20,6 +20,9 @@ _LETTER = _table(slice(0x41, 0x5B), slice(0x61, 0x7B), slice(0x80, 256))
 _STOPS = _table([ord(c) for c in ".,;:?'-\"()"])
 _MARKS = _table([ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"])
 _NAMES = ("upper", "digit", "letter", "stops", "marks", "white", "wide")
+#: Two classes to a table, counted in the halves of one number, so that a running sum serves both.
+_PAIRS = [a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32) for a, b in ((_UPPER, _DIGIT), (_LETTER, _STOPS), (_MARKS, ~NOT_SPACE), (_table(slice(0x80, 256)), _table()))]
+_LOW = np.uint64((1 << 32) - 1)
 
 #: The features, in order.
 NAMES = (
@@ -47,7 +50,6 @@ def _per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def text_stats(column: pa.Array):
     """Yield (first row, float32 matrix of features, word hashes, first word of each row) per slice; a null text is empty."""
-    tables = (_UPPER, _DIGIT, _LETTER, _STOPS, _MARKS, ~NOT_SPACE, _table(slice(0x80, 256)))
     for i, buf, offsets, _ in slices(column):
         n = len(offsets) - 1
         size = np.maximum(np.diff(offsets), 1)
@@ -57,27 +59,29 @@ def text_stats(column: pa.Array):
         count = np.diff(first)
         some = np.maximum(count, 1)
         row = np.repeat(np.arange(n), count)
-        cols = [_per_row(t[buf], offsets) / size for t in tables]
+        totals = []
+        for t in _PAIRS:
+            total = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum(t[buf], out=total[1:])
+            totals.append(total)
+        both = [t[offsets[1:]] - t[offsets[:-1]] for t in totals]
+        cols = [x / size for b in both for x in (b & _LOW, b >> np.uint64(32))][: len(_NAMES)]
         cols += [np.log1p(count), _per_row(ends - starts, first) / some]
-        cols.append(np.bincount(row[_fresh(row, h)], minlength=n) / some)
-        grams, gram_row = row_windows(h, first, 3)
-        cols.append(np.bincount(gram_row[_fresh(gram_row, grams)], minlength=n) / np.maximum(np.bincount(gram_row, minlength=n), 1))
-        in_word = lambda t: _spans(t[buf], starts, ends)  # noqa: E731, B023
-        marks, letters, upper = in_word(_MARKS), in_word(_LETTER), in_word(_UPPER)
+        cols.append(_distinct(h, first) / some)
+        grams, begin = row_windows(h, first, 3)
+        cols.append(_distinct(grams, begin) / np.maximum(np.diff(begin), 1))
+        upper, letters, marks = ((t[ends] - t[starts]) & _LOW for t in totals[:3])
         cols += [_per_row(x, first) / some for x in (marks > 0, letters == 0, (upper > 1) & (upper == letters), _STOPS[buf[ends - 1]] if len(ends) else np.zeros(0))]
-        lines = np.concatenate([np.flatnonzero(buf == 10), offsets[1:]])
-        lines.sort(kind="stable")
-        lines = np.unique(lines)
-        begin = np.concatenate([[0], lines[:-1]]) if len(lines) else np.zeros(0, np.int64)
-        line_row = np.minimum(np.searchsorted(offsets, begin, "right") - 1, n - 1)
-        n_lines = np.bincount(line_row[lines > begin], minlength=n) if len(lines) else np.zeros(n)
+        # a line ends at a line feed or with its row
+        ends_of = np.unique(np.concatenate([np.flatnonzero(buf == 10), offsets[1:]]))
+        begins = np.concatenate([[0], ends_of[:-1]]) if len(ends_of) else ends_of
+        begins = begins + (buf[np.minimum(begins, max(len(buf) - 1, 0))] == 10) * (begins > 0) if len(buf) else begins
+        some_text = ends_of > begins
+        line_hash = span_hashes(low, begins[some_text], ends_of[some_text])
+        line_first = np.searchsorted(begins[some_text], offsets)
+        n_lines = np.diff(line_first)
         cols.append(np.log1p(count / np.maximum(n_lines, 1)))
-        keep = lines > begin + 1
-        line_hash = span_hashes(low, np.minimum(begin[keep] + (low[np.minimum(begin[keep], len(low) - 1)] == 10), lines[keep]), lines[keep]) if keep.any() else np.zeros(0, np.uint64)
-        kept_row = line_row[keep]
-        own = np.bincount(kept_row, minlength=n) if len(kept_row) else np.zeros(n)
-        new = np.bincount(kept_row[_fresh(kept_row, line_hash)], minlength=n) if len(kept_row) else np.zeros(n)
-        cols.append(1 - new / np.maximum(own, 1) * (own > 0) - (own == 0))
+        cols.append(np.where(n_lines > 0, 1 - _distinct(line_hash, line_first) / np.maximum(n_lines, 1), 0))
         cols.append(_per_row(ends - starts > 24, first) / some)
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
@@ -87,18 +91,9 @@ def text_stats(column: pa.Array):
         yield i, np.stack(cols, 1).astype(np.float32), h, first
 
 
-def _spans(inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(inside)])
-    return total[ends] - total[starts]
-
-
-def _fresh(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The places of one occurrence of each value in each row."""
-    order = np.lexsort((h, row))
-    r, x = row[order], h[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
-    return order[new]
+def _distinct(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How many distinct hashes each row has."""
+    return np.bincount(distinct_per_row(h, begin)[0], minlength=len(begin) - 1)
 
 
 def standardise(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, add_sketches, null_safe, sketch_rows
 from .features import NAMES, standardise, text_stats
 from .pu_quality import _adam
+from .textbytes import distinct_per_row
 
 DOMAINS = ("clean", "toxic", "low_quality")
 #: Target shares of tokens.
@@ -41,9 +42,8 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 def _presence(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (row, slot) of a slice."""
-    n = len(first) - 1
-    key = np.unique(np.repeat(np.arange(n), np.diff(first)) * SLOTS + _slot(h))
-    return key // SLOTS, key % SLOTS
+    row, top = distinct_per_row(h & ~np.uint64((1 << 46) - 1), first)
+    return row, (top >> np.uint64(26)).astype(np.int64)
 
 
 def _slot_counts(batches):

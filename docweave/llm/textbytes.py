@@ -105,37 +105,43 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def row_windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and rows of the k-word windows of each row; a row of fewer words, but not none, has one window of all of them."""
+    """Hashes of the k-word windows of each row, in row order, and where each row's begin (one more entry than rows);
+    a row of fewer words, but not none, has one window of all of them."""
     counts = np.diff(first)
-    rows = np.repeat(np.arange(len(counts)), np.maximum(counts - k + 1, 0))
-    all_windows = window_hashes(h, k)
-    full = np.flatnonzero(counts >= k)
-    if len(full):
-        lens = counts[full] - k + 1
-        at = np.repeat(first[full] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        hashes = all_windows[at]
-    else:
-        hashes = np.zeros(0, np.uint64)
-    short = [(r, window_hashes(h[first[r] : first[r + 1]], int(counts[r]))[0]) for r in np.flatnonzero((counts > 0) & (counts < k))]
-    if short:
-        rows = np.concatenate([rows, np.array([r for r, _ in short])])
-        hashes = np.concatenate([hashes, np.array([x for _, x in short], np.uint64)])
-    return hashes, rows
+    n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    begin = np.concatenate([[0], np.cumsum(n)])
+    every = window_hashes(h, k)
+    # the window that starts at each word; those of short rows are put in below
+    at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], n)
+    out = every[np.minimum(at, max(len(every) - 1, 0))] if len(every) else np.zeros(begin[-1], np.uint64)
+    for r in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+        out[begin[r]] = window_hashes(h[first[r] : first[r + 1]], int(counts[r]))[0]
+    return out, begin
+
+
+def distinct_per_row(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and hashes' upper 44 bits of the distinct hashes of each row, ascending; rows must be fewer than 2**20."""
+    row = np.repeat(np.arange(len(begin) - 1, dtype=np.uint64), np.diff(begin))
+    key = np.sort((row << np.uint64(44)) | (h >> np.uint64(20)))
+    keep = np.ones(len(key), bool)
+    keep[1:] = key[1:] != key[:-1]
+    key = key[keep]
+    return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1)
 
 
 def shingle_sets(column: pa.Array, k: int = 5):
-    """Yield (first row, set sizes, sorted-by-row distinct shingle hashes, row starts) per slice of a column."""
+    """Yield (first row, set sizes, distinct shingle hashes ascending within each row, where each row's begin) per slice of a column."""
     for i, buf, offsets, _ in slices(column):
         low = LOWER[buf]
         starts, ends, first = word_spans(low, offsets, NOT_SPACE)
-        hashes, rows = row_windows(span_hashes(low, starts, ends), first, k)
-        order = np.lexsort((hashes, rows))
-        hashes, rows = hashes[order], rows[order]
-        keep = np.ones(len(rows), bool)
-        keep[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-        hashes, rows = hashes[keep], rows[keep]
-        begin = np.searchsorted(rows, np.arange(len(offsets)))
-        yield i, np.diff(begin), hashes, begin
+        hashes, begin = row_windows(span_hashes(low, starts, ends), first, k)
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            hashes[a:b].sort()
+        keep = np.ones(len(hashes), bool)
+        keep[1:] = hashes[1:] != hashes[:-1]
+        keep[begin[:-1][begin[:-1] < len(hashes)]] = True
+        begin = np.concatenate([[0], np.cumsum(keep)])[begin]
+        yield i, np.diff(begin), hashes[keep], begin
 
 
 def row_bytes(buf: np.ndarray, offsets: np.ndarray, r: int) -> bytes:
