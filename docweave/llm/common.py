@@ -50,6 +50,10 @@ class Scratch:
         except Exception:  # the session may have ended before the process does
             pass
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now: it does so when the driver's JVM collects its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"
         df.write.parquet(path)
@@ -95,7 +99,7 @@ def add_sketches(rows: DataFrame, size: int, pieces: int, dtype=np.int64) -> np.
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
 
     out = np.zeros((pieces, size // pieces), dtype)
-    for r in rows.select("piece", "counts").repartition("piece").mapInArrow(total, "piece int, counts binary").toLocalIterator():
+    for r in rows.select("piece", "counts").repartition("piece").mapInArrow(total, "piece int, counts binary").collect():
         out[r.piece] += np.frombuffer(r.counts, dtype)
     return out.ravel()
 
@@ -103,33 +107,67 @@ def add_sketches(rows: DataFrame, size: int, pieces: int, dtype=np.int64) -> np.
 # -- connected components ----------------------------------------------------------------
 
 
+#: Links that a task joins at once, before it passes on what they come to.
+_AT_ONCE = 500_000
+
+
+def _contract(batches):
+    """Stars (u, v) of the components of a task's links: one link for each node but the smallest."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def stars():
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = list(range(len(nodes)))
+        for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            while root[j] != j:
+                root[j] = root[root[j]]
+                j = root[j]
+            root[max(i, j)] = min(i, j)
+        for i in range(len(root)):  # roots are smaller, so they are final by now
+            root[i] = root[root[i]]
+        least = nodes[root]
+        more = least < nodes
+        return pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(least[more])], ["u", "v"])
+
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) >= _AT_ONCE:
+            yield stars()
+            held.clear()
+    if held:
+        yield stars()
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps on the edge table: every step is a
-    grouped minimum and an equi-join, the edges never grow, and each round is written to
-    the shared folder. Rounds go on until one changes nothing. Nodes are compared by
-    value (longs); a null or self link adds nothing but the node itself is kept out.
+    Each round first joins what lies in one task, then, unless all links have come to be stars, takes a large-star
+    and a small-star step: grouped minima and equi-joins on the edge table. The edges never grow, and each
+    round is written to the shared folder. Nodes are longs; a null or self link adds nothing.
     """
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    mark = _edge_mark(now)
-    while mark[0]:
+    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
+    while True:
+        after = scratch.keep(now.mapInArrow(_contract, "u long, v long"))
+        scratch.drop(now)
+        now = after
+        ends = now.select(F.explode(F.array(F.struct("u", F.col("v").alias("up")), F.struct(F.col("v").alias("u"), F.lit(None).cast("long").alias("up")))).alias("e")).select("e.*")
+        # a node of a star has one link up, or none and only links from below
+        odd = ends.groupBy("u").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max(F.col("up").isNull()).alias("below")).where("low <> high OR (below AND low IS NOT NULL)")
+        if not odd.limit(1).count():
+            break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("x"), F.col("m").alias("v"), "u")
-        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("x").alias("u"), F.col("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        small = large.join(least, "u").select("u", F.col("m").alias("v"), F.col("v").alias("x"))
+        small = small.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("x").alias("u"), "v"))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         after = scratch.keep(small)
         scratch.drop(now)
-        now, before, mark = after, mark, _edge_mark(after)
-        if mark == before:
-            break
+        now = after
+    now = now.distinct()
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _edge_mark(edges: DataFrame) -> tuple:
-    """How many edges and a hash of them all: equal marks mean a round changed nothing."""
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r.n, r.h

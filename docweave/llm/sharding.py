@@ -45,7 +45,7 @@ def _ranges(bounds: list[tuple[int, int]]):
 def _draw(rows: DataFrame, per_byte: float, seed: int) -> list[tuple[int, int]]:
     """Keys drawn with a chance proportional to size, by a hash of the row (so a rerun draws the same)."""
     chance = (F.xxhash64("h", "id", F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5) < F.col("size") * F.lit(per_byte)
-    return sorted((r.h, r.id) for r in rows.where(chance).select("h", "id").toLocalIterator())
+    return sorted((r.h, r.id) for r in rows.where(chance).select("h", "id").collect())
 
 
 def shard_report(docs: DataFrame, shards: int = 24) -> DataFrame:
