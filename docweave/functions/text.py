@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII word boundary and white space as linear-time engines read them; the JVM's own are Unicode-aware.
 _WORD = "[0-9A-Za-z_]"
@@ -118,7 +119,7 @@ def slug_ascii(title: Column) -> Column:
     return F.when(explicit != "", explicit).otherwise(F.btrim(slug, F.lit("-")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug_unicode(title: pd.Series) -> pd.Series:
     """Slug of a heading with compatibility decomposition, which no built-in function offers."""
 

@@ -18,7 +18,7 @@ _LINES: list[tuple[str | None, str]] = [
     ("k % 29 = 0", "'<!-- docweave:ignore Z601 -->'"),
     (None, "concat('# Order ', k)"),
     (None, "''"),
-    (None, "concat('See [customer](../cust/', c % 60, '.md#s', k % 4, ') and [next](', k + 1, '.md).')"),
+    (None, "concat('See [customer](../cust/', c % 60, '.md#s', k % 4, ') and [next](', k - k % 8 + (k + 1) % 8, '.md).')"),
     ("k % 13 = 0", "'# Second title'"),
     (None, "CASE WHEN k % 11 = 0 THEN '#### Details' ELSE '## Details' END"),
     (None, "'The parcel was packed by hand and is checked at the gate.'"),
@@ -59,7 +59,7 @@ _CUST = [
     "'## S0'",
     "concat('Go to [a](', (n * 7 + 1) % 60, '.md) and [b](', (n * 3) % 50, '.md#s1).')",
     "'## S1'",
-    "CASE WHEN n % 10 = 9 THEN 'Nothing here.' ELSE concat('Back to [home](../index.md).') END",
+    "CASE WHEN n % 10 = 9 THEN 'Nothing here.' ELSE concat('Back to [home](../index.md) and [order](../orders/', n * 8, '.md).') END",
     "'## S2'",
     "'The end of it.'",
 ]
