@@ -12,8 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -27,6 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Tables written to the shared folder, so a lost executor never costs finished work.
 
@@ -38,6 +44,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/docweave-{uuid.uuid4().hex}", {}
         atexit.register(self._end)
+        # texts are long: the default of 10,000 rows a batch costs each task several buffers of tens of MB
+        if int(spark.conf.get(_BATCH, "10000")) >= 10_000:
+            spark.conf.set(_BATCH, "4000")
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
