@@ -158,11 +158,9 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     and a small-star step: grouped minima and equi-joins on the edge table. The edges never grow, and each
     round is written to the shared folder. Nodes are longs; a null or self link adds nothing.
     """
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
+    step = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
     while True:
-        after = scratch.keep(now.mapInArrow(_contract, "u long, v long"))
-        scratch.drop(now)
-        now = after
+        now = scratch.keep(step.mapInArrow(_contract, "u long, v long"))
         ends = now.select(F.explode(F.array(F.struct("u", F.col("v").alias("up")), F.struct(F.col("v").alias("u"), F.lit(None).cast("long").alias("up")))).alias("e")).select("e.*")
         # a node of a star has one link up, or none and only links from below
         odd = ends.groupBy("u").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max(F.col("up").isNull()).alias("below")).where("low <> high OR (below AND low IS NOT NULL)")
@@ -173,10 +171,7 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", F.col("m").alias("v"), F.col("v").alias("x"))
-        small = small.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("x").alias("u"), "v"))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        after = scratch.keep(small)
-        scratch.drop(now)
-        now = after
+        step = small.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("x").alias("u"), "v"))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
     now = now.distinct()
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
