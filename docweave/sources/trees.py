@@ -29,7 +29,7 @@ def relative(path, root: str):
 def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     """(doc_path, text) of the Markdown files below a folder, in any file system that Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,mdx}").load(root)
-    return files.select(relative(F.col("path"), root).alias("doc_path"), F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r\n?", "\n").alias("text"))
+    return files.select(relative(F.col("path"), root).alias("doc_path"), F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"))
 
 
 def asset_tree(spark: SparkSession, root: str) -> DataFrame:
