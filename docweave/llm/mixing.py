@@ -152,11 +152,28 @@ def _rate(errors: list[np.ndarray], most: float) -> Column:
     return F.expr(sql)
 
 
+def goals(have: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Tokens to keep of each domain, of the tokens at hand and the target weights.
+
+    The whole is the largest at which domains that make up more than half of the targets have enough for theirs:
+    the median of have/want, weighted by want. These meet their targets exactly; a scarcer domain keeps all it has and
+    falls short, so it never takes the others down with it. The whole follows the tokens without a step; only
+    domains of which there is nothing at all leave the targets.
+    """
+    want = np.where(have > 0, want, 0.0)
+    if not want.sum() > 0:
+        return np.zeros(len(have))
+    ratio = np.where(want > 0, have / np.where(want > 0, want, 1.0), 0.0)
+    order = np.argsort(-ratio, kind="stable")
+    whole = ratio[order[np.searchsorted(np.cumsum(want[order]), (0.5 + 1e-9) * want.sum())]]
+    return np.minimum(want * whole, have)
+
+
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, p_<domain>, rate, copies, row_hash.
 
-    Targets are shares of the expected tokens; the whole is as large as the scarcest domain, against its
-    target, allows at rate 1, so no document needs to be repeated; ``most`` bounds the rates. A text that is null or empty has no
+    Targets are shares of the expected tokens, and ``goals`` sets the size of the whole so that no document needs to
+    be repeated; a scarce domain stays below its target. ``most`` bounds the rates. A text that is null or empty has no
     tokens and keeps rate by its posterior; without labels every document is clean. copies is the whole part
     of rate, and one more by a hash of doc_id and text against its fraction: repeated rows agree.
     """
@@ -174,11 +191,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
         return np.array([float(v) for v in r])
 
     have = totals(F.lit(1.0))
-    want = np.array([targets.get(x, 0.0) for x in DOMAINS])
-    want = want / want.sum()
-    usable = (want > 0) & (have > 1e-3 * max(1.0, have.sum()))
-    whole = (have[usable] / want[usable]).min() if usable.any() else 0.0
-    goal = np.where(have > 0, np.minimum(want * whole, have), 0.0)
+    goal = goals(have, np.array([targets.get(x, 0.0) for x in DOMAINS]))
     errors: list[np.ndarray] = []
     before = np.full(len(DOMAINS), np.inf)
     for _ in range(STEPS):

@@ -157,6 +157,33 @@ def test_mixing_reaches_targets(spark):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
 
 
+@pytest.mark.parametrize("bad", [4, 1])
+def test_mixing_keeps_clean_documents_where_a_domain_is_scarce(spark, bad):
+    """0.2 % and 0.05 % of low quality: that domain falls short, clean documents stay."""
+    clean = 2000 - 98 - bad
+    texts = [prose(i, 60) for i in range(clean)] + [prose(i, 57) + " scum trash scum" for i in range(98)] + [" ".join(w + "***" for w in prose(i, 60).split()) for i in range(bad)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 2000 - bad), int(clean <= i < 2000 - bad)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    rows = mixing.document_rates(docs, labels).collect()
+    have = {x: sum(r.n_tokens * r[f"p_{x}"] for r in rows) for x in mixing.DOMAINS}
+    total = {x: sum(r.n_tokens * r.rate * r[f"p_{x}"] for r in rows) for x in mixing.DOMAINS}
+    assert have["low_quality"] < 0.004 * sum(have.values())
+    assert all(r.copies == 1 for r in rows if r.doc_id < clean or r.doc_id >= 2000 - bad)
+    assert abs(total["toxic"] / sum(total.values()) - 0.01) < 0.005
+    assert {r.doc_id for r in mixing.apply_mixture(docs, labels).collect()} >= set(range(clean))
+
+
+def test_size_of_the_mixture():
+    def goal(*have):
+        return [round(float(x), 6) for x in mixing.goals(np.array(have), np.array([0.98, 0.01, 0.01]))]
+
+    assert goal(0.949, 0.049, 0.002) == [0.949, 0.009684, 0.002]
+    assert goal(0.949, 0.0501, 0.0009) == [0.949, 0.009684, 0.0009]  # no step at 0.1 %
+    assert goal(0.1, 0.8, 0.1) == [0.1, 0.00102, 0.00102]
+    assert goal(0.99, 0.01, 0.0) == [0.99, 0.01, 0.0] and goal(0, 0.4, 0.6) == [0, 0.4, 0.4] and goal(0, 0, 0) == [0, 0, 0]
+    assert [float(x) for x in mixing.goals(np.array([9.0, 8.0, 1.0]), np.ones(3) / 3)] == [8.0, 8.0, 1.0]
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mixing_report(empty(spark), labels).count() == 0
