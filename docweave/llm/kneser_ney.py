@@ -2,9 +2,11 @@
 
 Words are read between boundary marks; each language has a model of character n-grams
 up to ``ORDER`` over such words. Counts come from all training texts, summed on the
-executors by n-gram hash. A model is a pair of sorted arrays: hashes of n-grams, and for
-each the fully interpolated log probability (and the back-off weight it has as a context),
-so a lookup is a binary search. The language with the lowest cross-entropy per character wins.
+executors by n-gram hash; discounts, totals, continuation counts and probabilities are aggregates and joins over
+all of them. A model is a sorted array of hashes of n-grams, and for each, by language, what its log
+probability adds to that of its back-off, and the log back-off weight it has as a context. The log probability of a
+place is the sum of these over its n-grams and contexts, so a model can be cut anywhere: one that is too large
+for a task is read in blocks, and texts stream past each. The language with the lowest cross-entropy per character wins.
 
 Rejection: a text whose best cross-entropy is higher than all but ``REJECT`` of the
 training texts of that language is marked as in none of the languages.
@@ -25,14 +27,16 @@ from .textbytes import mix
 
 #: Longest n-gram, in characters.
 ORDER = 4
-#: N-grams of each language and order that the model holds: beyond that the rarest are left to lower orders.
-MAX_GRAMS = 100_000
+#: Numbers in a block of the model, two for each hash and language; a larger model takes more blocks, none is left out.
+BLOCK = 16_000_000
 #: Share of training texts whose best cross-entropy counts as too high.
 REJECT = 0.002
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SALT = [np.uint64((0x9E3779B97F4A7C15 * (n + 1)) & (2**64 - 1)) for n in range(ORDER + 1)]
 _C1 = np.uint64(0xD6E8FEB86659FD93)
+#: Probability of a character that was never seen.
+UNKNOWN = 1e-6
 MARK = 1  # code point of the word boundary
 
 
@@ -54,8 +58,14 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]
 
 
 def grams_of(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``_all_grams`` without the opening marks, which are context only: hashes for n = 1..ORDER, and each place's word."""
+    grams, word, place, _ = _all_grams(words)
+    return [g[place > 0] for g in grams], word[place > 0]
+
+
+def _all_grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """For n = 1..ORDER the hash of the n characters that end at each place of ``^word$`` (0 where a word has too few
-    before it), over all words in a row; and each place's word. The opening mark is context only."""
+    before it), over all words in a row; each place's word, its number in the word, and whether the word ends there."""
     text = "".join("\x01" + w + "\x01" for w in words)
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     lens = np.array([len(w) + 2 for w in words])
@@ -69,8 +79,7 @@ def grams_of(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         g = mix(h + _SALT[n]) | np.uint64(1)
         g[place < n - 1] = 0
         out.append(g)
-    ends = place > 0
-    return [g[ends] for g in out], word[ends]
+    return out, word, place, place == lens[word] - 1
 
 
 def _context(words: list[str]) -> list[np.ndarray]:
@@ -126,90 +135,84 @@ def _emit(sums):
             )
 
 
+def _fit(counts: DataFrame, scratch: Scratch) -> tuple[list[str], np.ndarray, DataFrame]:
+    """The languages in order, the log probability of a place before any n-gram is known, and what n-grams and
+    contexts add to it: (key, lang, gain, weight), from all rows (lang, n, gram, context, suffix, count)."""
+    longer = counts.where("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("suffix").alias("gram")).agg(F.count("*").alias("more"))
+    # lower orders count the different characters an n-gram continues, where longer n-grams show them
+    rows = scratch.keep(counts.join(longer, ["lang", "n", "gram"], "left").select("lang", "n", "gram", "context", "suffix", F.coalesce("more", "count").alias("c")))
+    ones = {r.n: (r.n1, r.n2) for r in rows.groupBy("n").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()}
+    d = F.lit(0.5)
+    for n, (n1, n2) in ones.items():
+        if n1 and n2:
+            d = F.when(F.col("n") == n, F.lit(n1 / (n1 + 2 * n2))).otherwise(d)
+    totals = rows.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), (d * F.count("*") / F.sum("c")).alias("weight"))
+    totals = scratch.keep(totals)
+    first = {r.lang: r.weight for r in totals.where("n = 1").collect()}
+    langs = sorted(first)
+    terms = scratch.keep(rows.join(totals, ["lang", "n", "context"]).select("lang", "n", "gram", "suffix", (F.greatest(F.col("c") - d, F.lit(0.0)) / F.col("total")).alias("term"), "weight"))
+    parts, below = [], None
+    for n in range(1, ORDER + 1):
+        own = terms.where(F.col("n") == n)
+        # an n-gram's suffix has been counted wherever the n-gram has
+        own = own.withColumn("below", F.lit(UNKNOWN)) if below is None else own.join(below, ["lang", "suffix"])
+        own = scratch.keep(own.select("lang", "gram", (F.col("term") + F.col("weight") * F.col("below")).alias("prob"), (F.col("weight") * F.col("below")).alias("back")))
+        parts.append(own.select(F.col("gram").alias("key"), "lang", F.log(F.col("prob") / F.col("back")).alias("gain"), F.lit(0.0).alias("weight")))
+        below = own.select("lang", F.col("gram").alias("suffix"), F.col("prob").alias("below"))
+    parts.append(totals.where("n > 1").select(F.col("context").alias("key"), "lang", F.lit(0.0).alias("gain"), F.log("weight").alias("weight")))
+    table = parts[0]
+    for x in parts[1:]:
+        table = table.unionByName(x)
+    return langs, np.array([np.log(UNKNOWN * first[x]) for x in langs]), scratch.keep(table)
+
+
 class Model:
-    """Interpolated log probabilities of all languages by n-gram hash, and back-off weights by context hash."""
+    """What n-grams and contexts add to log probabilities, by hash: a row of gains and weights of all languages for each."""
 
-    def __init__(self, langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]], backoff: list[tuple[np.ndarray, np.ndarray]], unknown: float):
-        self.langs, self.grams, self.backoff, self.unknown = langs, grams, backoff, unknown
+    def __init__(self, langs: list[str], base: np.ndarray, keys: np.ndarray, values: np.ndarray):
+        self.langs, self.base, self.keys, self.values = langs, base, keys, values
+
+    @classmethod
+    def blocks(cls, counts: DataFrame, scratch: Scratch):
+        """Models that add up to the whole, each of about ``BLOCK`` numbers; only the first holds the base."""
+        langs, base, table = _fit(counts, scratch)
+        n = max(1, -(-table.select("key").distinct().count() * 2 * len(langs) // BLOCK))
+        for i in range(n):
+            part = table.where(F.pmod(F.shiftright("key", 1), F.lit(n)) == i).toArrow()
+            at = {x: j for j, x in enumerate(langs)}
+            keys, row = np.unique(part["key"].to_numpy().view(np.uint64), return_inverse=True)
+            lang = np.array([at[x] for x in part["lang"].to_pylist()], np.int64)
+            values = np.zeros((len(keys), 2 * len(langs)), np.float32)
+            np.add.at(values, (row, lang), part["gain"].to_numpy())
+            np.add.at(values, (row, lang + len(langs)), part["weight"].to_numpy())
+            yield cls(langs, base if i == 0 else np.zeros(len(langs)), keys, values)
 
     @classmethod
     def fit(cls, counts: DataFrame) -> Model:
-        """From rows (lang, n, gram, context, suffix, count), at most MAX_GRAMS for each language and order."""
-        t = counts.toPandas()
-        langs = sorted(t["lang"].unique())
-        at = {x: i for i, x in enumerate(langs)}
-        k = len(langs)
-        grams, backoff = [], []
-        unknown = 1e-6
-        lower_keys, lower = np.zeros(0, np.uint64), np.zeros((0, k))
-        for n in range(1, ORDER + 1):
-            rows = t[t["n"] == n]
-            lang = rows["lang"].map(at).to_numpy(np.int64)
-            key, ctx, suf, c = (rows[x].to_numpy(np.int64) for x in ("gram", "context", "suffix", "count"))
-            key, ctx, suf = key.view(np.uint64), ctx.view(np.uint64), suf.view(np.uint64)
-            if n < ORDER:  # lower orders count the different characters an n-gram continues, where longer n-grams show them
-                higher = t[t["n"] == n + 1]
-                pair = np.stack([higher["lang"].map(at).to_numpy(np.int64), higher["suffix"].to_numpy(np.int64)], 1)
-                u, m = np.unique(pair, axis=0, return_counts=True) if len(pair) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                seen = {(a, b): x for (a, b), x in zip(map(tuple, u.tolist()), m.tolist())}
-                cont = np.array([seen.get((a, b), 0) for a, b in zip(lang.tolist(), key.view(np.int64).tolist())], np.int64)
-                c = np.where(cont > 0, cont, c)
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            cu, inv = np.unique(ctx, return_inverse=True)
-            total = np.zeros((len(cu), k))
-            kinds = np.zeros((len(cu), k))
-            np.add.at(total, (inv, lang), c)
-            np.add.at(kinds, (inv, lang), 1)
-            weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            keys, pos = np.unique(key, return_inverse=True)
-            prob = np.zeros((len(keys), k))
-            np.add.at(prob, (pos, lang), np.maximum(c - d, 0) / np.maximum(total[inv, lang], 1))
-            first = np.zeros(len(keys), np.int64)
-            first[pos] = np.arange(len(pos))
-            below = np.full((len(keys), k), unknown)
-            if n > 1 and len(lower_keys):
-                j = np.minimum(np.searchsorted(lower_keys, suf[first]), len(lower_keys) - 1)
-                found = lower_keys[j] == suf[first]
-                below[found] = lower[j[found]]
-            prob += weight[inv[first]] * below
-            grams.append((keys, np.log(prob).astype(np.float32)))
-            backoff.append((cu, np.log(np.maximum(weight, 1e-12)).astype(np.float32)))
-            lower_keys, lower = keys, prob
-        return cls(langs, grams, backoff, float(np.log(unknown)))
+        """The whole from rows (lang, n, gram, context, suffix, count), for models of one block."""
+        (model,) = cls.blocks(counts, Scratch(counts.sparkSession))
+        return model
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each word by each language, and its places."""
-        grams, word = grams_of(words)
-        contexts = _context(words)
-        out = np.zeros((len(word), len(self.langs)), np.float32)
-        open_ = np.arange(len(word))
-        for n in range(ORDER, 0, -1):  # places that the longer n-gram doesn't cover go on, with the back-off weight of its context
-            keys, values = self.grams[n - 1]
-            g = grams[n - 1][open_]
-            if len(keys):
-                j = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                hit = (keys[j] == g) & (g != 0)
-                out[open_[hit]] += values[j[hit]]
-            else:
-                hit = np.zeros(len(g), bool)
-            open_ = open_[~hit]
-            if not len(open_):
-                break
-            cu, weights = self.backoff[n - 1]
-            c = contexts[n - 1][open_]
-            if len(cu):
-                j = np.minimum(np.searchsorted(cu, c), len(cu) - 1)
-                known = cu[j] == c
-                out[open_[known]] += weights[j[known]]
-        out[open_] += self.unknown
-        scores = np.zeros((len(words), len(self.langs)))
-        for i in range(len(self.langs)):
+        """What the model adds to the log probability of each word by each language, and the word's places."""
+        grams, word, place, ends = _all_grams(words)
+        k = len(self.langs)
+        out = np.zeros((len(word), k))
+        out[place > 0] = self.base
+        for g in grams if len(self.keys) else ():
+            j = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+            hit = (self.keys[j] == g) & (g != 0)
+            hit_gain, hit_weight = np.flatnonzero(hit & (place > 0)), np.flatnonzero(hit & ~ends)
+            out[hit_gain] += self.values[j[hit_gain], :k]
+            out[hit_weight] += self.values[j[hit_weight], k:]  # as the context of the next place
+        # the longest context is of ORDER - 1 characters: n-grams of ORDER have no weight in the table
+        scores = np.zeros((len(words), k))
+        for i in range(k):
             scores[:, i] = np.bincount(word, out[:, i], len(words))
-        return scores, np.bincount(word, minlength=len(words))
+        return scores, np.bincount(word[place > 0], minlength=len(words))
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per place (nats) of each text by each language, and its places."""
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """What the model adds to the log probability of each text by each language, and the text's places."""
         rows, nums, words, counts = words_of(texts)
         total, places = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         if words:
@@ -217,7 +220,7 @@ class Model:
             for i in range(len(self.langs)):
                 total[:, i] = np.bincount(rows, scores[nums, i] * counts, len(texts))
             places = np.bincount(rows, size[nums] * counts, len(texts))
-        return -total / np.maximum(places, 1)[:, None], places
+        return total, places
 
 
 def _few(column: pa.Array, limit: int = 4 << 20):
@@ -230,8 +233,25 @@ def _few(column: pa.Array, limit: int = 4 << 20):
         i = j
 
 
+def _add(model):
+    """Per row of (doc_id, text, lang, sums): sums with what this block adds."""
+
+    def run(batches):
+        m = model.value
+        for b in batches:
+            sums = [(m.totals(texts)[0] + _sums(b, i, len(texts), m)).tolist() for i, texts in _few(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x for part in sums for x in part], pa.list_(pa.float64()))], ["doc_id", "text", "lang", "sums"])
+
+    return run
+
+
+def _sums(b: pa.RecordBatch, i: int, n: int, m: Model):
+    """What earlier blocks have added for n rows from i."""
+    return np.array(b.column(3).slice(i, n).to_pylist()).reshape(n, len(m.langs)) if b.num_columns > 3 else 0.0
+
+
 def _score(model):
-    """Per row of (doc_id, text, lang): the prediction, its score, the best cross-entropy, and that of ``lang``."""
+    """Per row of (doc_id, text, lang), and sums of earlier blocks: the prediction, its score, the best cross-entropy, and that of ``lang``."""
 
     def run(batches):
         m = model.value
@@ -239,7 +259,8 @@ def _score(model):
         for b in batches:
             langs, pred, score, best, own = b.column(2).to_pylist(), [], [], [], []
             for i, texts in _few(b.column(1)):
-                h, places = m.entropies(texts)
+                total, places = m.totals(texts)
+                h = -(total + _sums(b, i, len(texts), m)) / np.maximum(places, 1)[:, None]
                 if not m.langs:
                     h = np.zeros((len(texts), 1))
                 p = np.exp(-(h - h.min(1, keepdims=True)) * np.minimum(places, 200)[:, None])
@@ -275,13 +296,18 @@ def identify_languages(docs: DataFrame, learn: Column | None = None) -> DataFram
     counts = known.mapInArrow(_count, "lang string, n int, gram long, context long, suffix long, count long")
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"), F.first("context").alias("context"), F.first("suffix").alias("suffix"))
     counts = scratch.keep(counts)
-    sizes = {(r.lang, r.n): r["count"] for r in counts.groupBy("lang", "n").count().collect()}
-    over = [k for k, n in sizes.items() if n > MAX_GRAMS]
-    for lang, n in over:  # keep the most frequent: a threshold by quantile over all n-grams
-        cut = counts.where((F.col("lang") == lang) & (F.col("n") == n)).approxQuantile("count", [1 - MAX_GRAMS / sizes[lang, n]], 0.001)[0]
-        counts = counts.where(~((F.col("lang") == lang) & (F.col("n") == n) & (F.col("count") <= cut)))
-    model = spark.sparkContext.broadcast(Model.fit(counts))
+    model = None
+    for more in Model.blocks(counts, scratch):
+        if model is not None:  # all blocks but the last
+            after = scratch.keep(source.mapInArrow(_add(model), "doc_id long, text string, lang string, sums array<double>"))
+            if "sums" in source.columns:
+                scratch.drop(source)
+            model.unpersist()
+            source = after
+        model = spark.sparkContext.broadcast(more)
     scored = scratch.keep(source.mapInArrow(_score(model), "doc_id long, lang_pred string, score double, cross_entropy double, lang string, own double"))
+    if "sums" in source.columns:
+        scratch.drop(source)
     limits = scored.where("own is not null").groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("own", 1 - REJECT, 10_000).alias("limit")).collect()
     limit = F.lit(None).cast("double")
     for r in limits:

@@ -285,6 +285,52 @@ def test_language_probabilities_sum_to_one(spark):
     assert 0 < np.exp(scores[:, 0]).sum() <= 1.001
 
 
+def test_languages_without_a_cap(spark, monkeypatch):
+    """Kneser-Ney over all n-grams, computed by hand, for an open alphabet with more than
+    100,000 n-grams of a language and order; the same from one block and from many."""
+    r = random.Random(7)
+    rows = [(i, " ".join("".join(chr(0x4E00 + 700 * (i % 2) + r.randrange(900)) for _ in range(r.randrange(1, 6))) for _ in range(2000)), "xy"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = sorted(tuple(x) for x in kneser_ney.identify_languages(df).collect())
+    monkeypatch.setattr(kneser_ney, "BLOCK", 1_000_000, raising=False)
+    many = sorted(tuple(x) for x in kneser_ney.identify_languages(df).collect())
+    assert [x[1] for x in one] == [x[1] for x in many] == [x[2] for x in rows]
+    grams = {(x, n): {} for x in "xy" for n in range(1, 5)}
+    for _, t, x in rows:
+        for w in t.split():
+            w = "^" + w + "$"
+            for e in range(1, len(w)):
+                for n in range(1, min(4, e + 1) + 1):
+                    g = w[e - n + 1 : e + 1]
+                    grams[x, n][g] = grams[x, n].get(g, 0) + 1
+    for n in range(1, 4):
+        for x in "xy":
+            more = {}
+            for g in grams[x, n + 1]:
+                more[g[1:]] = more.get(g[1:], 0) + 1
+            grams[x, n] = {g: more.get(g, c) for g, c in grams[x, n].items()}
+    d, context = {}, {}
+    for n in range(1, 5):
+        n1, n2 = (sum(c == k for x in "xy" for c in grams[x, n].values()) for k in (1, 2))
+        d[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        for x in "xy":
+            for g, c in grams[x, n].items():
+                total, kinds = context.get((x, n, g[:-1]), (0, 0))
+                context[x, n, g[:-1]] = total + c, kinds + 1
+
+    def prob(x, g):
+        if not g:
+            return 1e-6
+        total, kinds = context.get((x, len(g), g[:-1]), (0, 0))
+        return prob(x, g[1:]) if not total else max(grams[x, len(g)].get(g, 0) - d[len(g)], 0) / total + d[len(g)] * kinds / total * prob(x, g[1:])
+
+    assert max(map(len, grams.values())) > 100_000
+    for (_, t, x), a, b in zip(rows, one, many):
+        places = [("^" + w + "$")[max(0, e - 3) : e + 1] for w in t.split() for e in range(1, len(w) + 2)]
+        want = -sum(np.log(prob(x, g)) for g in places) / len(places)
+        assert abs(a[3] - want) < 1e-5 and abs(b[3] - want) < 1e-5
+
+
 # -- licenses -----------------------------------------------------------------------------
 
 
