@@ -3,7 +3,7 @@
 Words are read between boundary marks; each language has a model of character n-grams
 up to ``ORDER`` over such words. Counts come from all training texts, summed on the
 executors by n-gram hash; discounts, totals, continuation counts and probabilities are aggregates and joins over
-all of them. A model is a sorted array of hashes of n-grams, and for each, by language, what its log
+all of them. A language's model is a sorted array of hashes of n-grams, and for each what its log
 probability adds to that of its back-off, and the log back-off weight it has as a context. The log probability of a
 place is the sum of these over its n-grams and contexts, so a model can be cut anywhere: one that is too large
 for a task is read in blocks, and texts stream past each. The language with the lowest cross-entropy per character wins.
@@ -15,6 +15,8 @@ training texts of that language is marked as in none of the languages.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,28 @@ from .textbytes import mix
 
 #: Longest n-gram, in characters.
 ORDER = 4
-#: Numbers in a block of the model, two for each hash and language; a larger model takes more blocks, none is left out.
-BLOCK = 16_000_000
+#: Rows in a block of the models, one for each n-gram or context and language; larger models take more blocks, none is left out.
+BLOCK = 4_000_000
 #: Share of training texts whose best cross-entropy counts as too high.
 REJECT = 0.002
+#: Words whose scores a task keeps from one text to the next; beyond that it starts anew.
+KEPT_WORDS = 200_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+def _numbers() -> str:
+    """Characters that count as alphanumeric for regexes but are numbers and no letters, as a character class's body."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) in ("No", "Nl"):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "".join(re.escape(chr(a)) + (f"-{re.escape(chr(b))}" if b > a else "") for a, b in runs)
+
+
+#: Runs of letters (category L).
+_WORD = re.compile(rf"[^\W\d_{_numbers()}]+")
 _SALT = [np.uint64((0x9E3779B97F4A7C15 * (n + 1)) & (2**64 - 1)) for n in range(ORDER + 1)]
 _C1 = np.uint64(0xD6E8FEB86659FD93)
 #: Probability of a character that was never seen.
@@ -40,23 +58,6 @@ UNKNOWN = 1e-6
 MARK = 1  # code point of the word boundary
 
 
-def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Per text the distinct lower-cased words and how often each occurs: (text, word number, words, counts)."""
-    index: dict[str, int] = {}
-    rows, nums, counts = [], [], []
-    for r, t in enumerate(texts):
-        if not t:
-            continue
-        own: dict[str, int] = {}
-        for w in _WORD.findall(t.lower()):
-            own[w] = own.get(w, 0) + 1
-        for w, c in own.items():
-            rows.append(r)
-            nums.append(index.setdefault(w, len(index)))
-            counts.append(c)
-    return np.array(rows, np.int64), np.array(nums, np.int64), list(index), np.array(counts, np.int64)
-
-
 def grams_of(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """As ``_all_grams`` without the opening marks, which are context only: hashes for n = 1..ORDER, and each place's word."""
     grams, word, place, _ = _all_grams(words)
@@ -101,14 +102,12 @@ def _context(words: list[str]) -> list[np.ndarray]:
 
 def _count(batches):
     """Per language the n-grams of all its texts: (lang, n, gram, context, suffix, count), summed per task."""
-    sums: dict[str, dict[str, int]] = {}
+    sums: dict[str, Counter] = {}
     for b in batches:
         texts, langs = b.column(0), b.column(1).to_pylist()
         for lo in range(0, b.num_rows, 256):
             for t, lang in zip(texts.slice(lo, 256).to_pylist(), langs[lo : lo + 256]):
-                own = sums.setdefault(lang, {})
-                for w in _WORD.findall((t or "").lower()):
-                    own[w] = own.get(w, 0) + 1
+                sums.setdefault(lang, Counter()).update(_WORD.findall((t or "").lower()))
             if sum(len(x) for x in sums.values()) > 300_000:
                 yield from _emit(sums)
                 sums = {}
@@ -125,12 +124,14 @@ def _emit(sums):
         for n in range(1, ORDER + 1):
             g = grams[n - 1]
             ok = g != 0
+            if not ok.any():  # all words are shorter
+                continue
             g, c, w = g[ok], contexts[n - 1][ok], counts[word[ok]]
             s = grams[n - 2][ok] if n > 1 else np.zeros(len(g), np.uint64)
             u, first, inv = np.unique(g, return_index=True, return_inverse=True)
             total = np.bincount(inv, w, len(u)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(u)), pa.array(np.full(len(u), n, np.int32)), pa.array(u.view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(s[first].view(np.int64)), pa.array(total)],
+                [pa.array([lang] * len(u), pa.string()), pa.array(np.full(len(u), n, np.int32)), pa.array(u.view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(s[first].view(np.int64)), pa.array(total)],
                 ["lang", "n", "gram", "context", "suffix", "count"],
             )
 
@@ -163,29 +164,40 @@ def _fit(counts: DataFrame, scratch: Scratch) -> tuple[list[str], np.ndarray, Da
     table = parts[0]
     for x in parts[1:]:
         table = table.unionByName(x)
+    table = table.groupBy("lang", "key").agg(F.sum("gain").cast("float").alias("gain"), F.sum("weight").cast("float").alias("weight"))
     return langs, np.array([np.log(UNKNOWN * first[x]) for x in langs]), scratch.keep(table)
 
 
 class Model:
-    """What n-grams and contexts add to log probabilities, by hash: a row of gains and weights of all languages for each."""
+    """For each language a sorted array of hashes of n-grams and contexts, and what each adds to log probabilities as the one and as the other."""
+
+    def __init__(self, langs: list[str], base: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.langs, self.base, self.tables = langs, base, tables
+        self._kept: dict[str, int] = {}
+        self._scores, self._places = np.zeros((0, len(langs))), np.zeros(0, np.int64)
+
+    def __getstate__(self):
+        return self.langs, self.base, self.tables
 
-    def __init__(self, langs: list[str], base: np.ndarray, keys: np.ndarray, values: np.ndarray):
-        self.langs, self.base, self.keys, self.values = langs, base, keys, values
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     @classmethod
     def blocks(cls, counts: DataFrame, scratch: Scratch):
-        """Models that add up to the whole, each of about ``BLOCK`` numbers; only the first holds the base."""
+        """Models that add up to the whole, each of about ``BLOCK`` rows; only the first holds the base."""
         langs, base, table = _fit(counts, scratch)
-        n = max(1, -(-table.select("key").distinct().count() * 2 * len(langs) // BLOCK))
+        n = max(1, -(-table.count() // BLOCK))
         for i in range(n):
             part = table.where(F.pmod(F.shiftright("key", 1), F.lit(n)) == i).toArrow()
-            at = {x: j for j, x in enumerate(langs)}
-            keys, row = np.unique(part["key"].to_numpy().view(np.uint64), return_inverse=True)
-            lang = np.array([at[x] for x in part["lang"].to_pylist()], np.int64)
-            values = np.zeros((len(keys), 2 * len(langs)), np.float32)
-            np.add.at(values, (row, lang), part["gain"].to_numpy())
-            np.add.at(values, (row, lang + len(langs)), part["weight"].to_numpy())
-            yield cls(langs, base if i == 0 else np.zeros(len(langs)), keys, values)
+            lang = part["lang"].combine_chunks().dictionary_encode()
+            codes, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+            keys, gain, weight = part["key"].to_numpy().view(np.uint64), part["gain"].to_numpy(), part["weight"].to_numpy()
+            tables = []
+            for x in langs:
+                own = np.flatnonzero(codes == names.index(x)) if x in names else np.zeros(0, np.int64)
+                own = own[np.argsort(keys[own])]
+                tables.append((keys[own], gain[own], weight[own]))
+            yield cls(langs, base if i == 0 else np.zeros(len(langs)), tables)
 
     @classmethod
     def fit(cls, counts: DataFrame) -> Model:
@@ -196,31 +208,38 @@ class Model:
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """What the model adds to the log probability of each word by each language, and the word's places."""
         grams, word, place, ends = _all_grams(words)
-        k = len(self.langs)
-        out = np.zeros((len(word), k))
-        out[place > 0] = self.base
-        for g in grams if len(self.keys) else ():
-            j = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-            hit = (self.keys[j] == g) & (g != 0)
-            hit_gain, hit_weight = np.flatnonzero(hit & (place > 0)), np.flatnonzero(hit & ~ends)
-            out[hit_gain] += self.values[j[hit_gain], :k]
-            out[hit_weight] += self.values[j[hit_weight], k:]  # as the context of the next place
-        # the longest context is of ORDER - 1 characters: n-grams of ORDER have no weight in the table
-        scores = np.zeros((len(words), k))
-        for i in range(k):
-            scores[:, i] = np.bincount(word, out[:, i], len(words))
+        scores = np.zeros((len(words), len(self.langs)))
+        for k, (keys, gain, weight) in enumerate(self.tables):
+            out = np.where(place > 0, self.base[k], 0.0)
+            for g in grams if len(keys) else ():
+                j = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+                hit = (keys[j] == g) & (g != 0)
+                out += np.where(hit & (place > 0), gain[j], 0)
+                # as the context of the next place; the longest is of ORDER - 1 characters, longer n-grams have no weight
+                out += np.where(hit & ~ends, weight[j], 0)
+            scores[:, k] = np.bincount(word, out, len(words))
         return scores, np.bincount(word[place > 0], minlength=len(words))
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """What the model adds to the log probability of each text by each language, and the text's places."""
-        rows, nums, words, counts = words_of(texts)
-        total, places = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        if words:
-            scores, size = self.word_scores(words)
-            for i in range(len(self.langs)):
-                total[:, i] = np.bincount(rows, scores[nums, i] * counts, len(texts))
-            places = np.bincount(rows, size[nums] * counts, len(texts))
-        return total, places
+        """What the model adds to the log probability of each text by each language, and the text's places.
+
+        Words that were met before in this task are looked up, not computed again.
+        """
+        per = [Counter(_WORD.findall(t.lower())) if t else Counter() for t in texts]
+        if len(self._kept) > KEPT_WORDS:
+            self._kept, self._scores, self._places = {}, self._scores[:0], self._places[:0]
+        fresh = list({w: None for own in per for w in own if w not in self._kept})
+        if fresh:
+            self._kept.update(zip(fresh, range(len(self._kept), len(self._kept) + len(fresh))))
+            scores, places = self.word_scores(fresh)
+            self._scores, self._places = np.concatenate([self._scores, scores]), np.concatenate([self._places, places])
+        sizes = np.array([len(own) for own in per], np.int64)
+        n = int(sizes.sum())
+        nums = np.fromiter((self._kept[w] for own in per for w in own), np.int64, n)
+        counts = np.fromiter((c for own in per for c in own.values()), np.int64, n)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        total = np.stack([np.bincount(row, self._scores[nums, k] * counts, len(texts)) for k in range(len(self.langs))], 1) if self.langs else np.zeros((len(texts), 0))
+        return total, np.bincount(row, self._places[nums] * counts, len(texts))
 
 
 def _few(column: pa.Array, limit: int = 4 << 20):
@@ -263,7 +282,7 @@ def _score(model):
                 h = -(total + _sums(b, i, len(texts), m)) / np.maximum(places, 1)[:, None]
                 if not m.langs:
                     h = np.zeros((len(texts), 1))
-                p = np.exp(-(h - h.min(1, keepdims=True)) * np.minimum(places, 200)[:, None])
+                p = np.exp(-(h - h.min(1, keepdims=True)) * places[:, None])
                 p /= p.sum(1, keepdims=True)
                 k = h.argmin(1)
                 for r, t in enumerate(texts):
@@ -283,9 +302,12 @@ def identify_languages(docs: DataFrame, learn: Column | None = None) -> DataFram
     """One row per row of ``docs``: doc_id, lang_pred, score, cross_entropy, rejected.
 
     Rows that meet ``learn`` teach, if they have text and lang. lang_pred is ``und`` for a null text, one without a
-    letter, or where nothing was learned; score is the winner's share (0 to 1) among the languages. rejected: the
-    best cross-entropy is higher than all but ``REJECT`` of the teaching rows of that language have by their own model.
-    Ties go to the first language in order. Rows are judged on their own.
+    letter (Unicode category L), or where nothing was learned; score is the winner's posterior (0 to 1) under equal
+    priors. cross_entropy is per place, null for ``und``. rejected: it is higher than all but ``REJECT`` of the teaching
+    rows of that language have by their own model, or there is none. Ties go to the first language in order. Rows
+    are judged on their own, so repeated rows repeat their result, though as teachers each counts; a null doc_id or
+    lang is carried through; texts are read whole, however long; an empty table gives an empty result. Only doc_id,
+    text and lang are read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -316,7 +338,7 @@ def identify_languages(docs: DataFrame, learn: Column | None = None) -> DataFram
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """The folds of the registered query: rows whose crc32(doc_id) mod 4 is 2 teach nothing."""
+    """The folds of the registered query: rows whose crc32(doc_id) mod 4 is 2 teach nothing. Edge cases as in ``identify_languages``."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     out = identify_languages(docs, fold != 2)
-    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"), F.round("cross_entropy", 6).alias("cross_entropy"), "rejected")
