@@ -1,26 +1,27 @@
 """The signature rules of the license scan, in order: priority | label | keyword | regex.
 
-Regexes run on lower-cased UTF-8 bytes; a blank matches white space and comment marks.
+Regexes run on lower-cased UTF-8 bytes; a blank matches white space and comment marks, ` ?` may match nothing. All
+words of a keyword must occur for its regex to run, so every alternative of a regex holds them.
 Priorities: 1 whole notices and tags, 2 named with version, 3 named, 4 mentions.
 """
 
 RULES = r"""
 # tags
-1 | spdx | spdx-license-identifier | spdx-license-identifier:\s*[\w.+() -]{1,80}
-1 | apache-2.0 | spdx-license-identifier | spdx-license-identifier:\s*apache-2\.0
-1 | mit | spdx-license-identifier | spdx-license-identifier:\s*mit\b
-1 | gpl-2.0 | spdx-license-identifier | spdx-license-identifier:\s*gpl-2\.0(?:-only|-or-later|\+)?
-1 | gpl-3.0 | spdx-license-identifier | spdx-license-identifier:\s*gpl-3\.0(?:-only|-or-later|\+)?
-1 | lgpl-2.1 | spdx-license-identifier | spdx-license-identifier:\s*lgpl-2\.1(?:-only|-or-later|\+)?
-1 | lgpl-3.0 | spdx-license-identifier | spdx-license-identifier:\s*lgpl-3\.0(?:-only|-or-later|\+)?
-1 | agpl-3.0 | spdx-license-identifier | spdx-license-identifier:\s*agpl-3\.0(?:-only|-or-later|\+)?
-1 | mpl-2.0 | spdx-license-identifier | spdx-license-identifier:\s*mpl-2\.0
-1 | bsd-2-clause | spdx-license-identifier | spdx-license-identifier:\s*bsd-2-clause
-1 | bsd-3-clause | spdx-license-identifier | spdx-license-identifier:\s*bsd-3-clause
-1 | isc | spdx-license-identifier | spdx-license-identifier:\s*isc\b
-1 | unlicense | spdx-license-identifier | spdx-license-identifier:\s*unlicense
-1 | cc0-1.0 | spdx-license-identifier | spdx-license-identifier:\s*cc0-1\.0
-1 | epl-2.0 | spdx-license-identifier | spdx-license-identifier:\s*epl-2\.0
+2 | spdx | spdx-license-identifier | spdx-license-identifier:\s*\(?[a-z0-9][\w.+-]{0,80}
+1 | apache-2.0 | spdx-license-identifier | spdx-license-identifier:\s*\(?apache-2\.0
+1 | mit | spdx-license-identifier | spdx-license-identifier:\s*\(?mit\b
+1 | gpl-2.0 | spdx-license-identifier | spdx-license-identifier:\s*\(?gpl-2\.0(?:-only|-or-later|\+)?
+1 | gpl-3.0 | spdx-license-identifier | spdx-license-identifier:\s*\(?gpl-3\.0(?:-only|-or-later|\+)?
+1 | lgpl-2.1 | spdx-license-identifier | spdx-license-identifier:\s*\(?lgpl-2\.1(?:-only|-or-later|\+)?
+1 | lgpl-3.0 | spdx-license-identifier | spdx-license-identifier:\s*\(?lgpl-3\.0(?:-only|-or-later|\+)?
+1 | agpl-3.0 | spdx-license-identifier | spdx-license-identifier:\s*\(?agpl-3\.0(?:-only|-or-later|\+)?
+1 | mpl-2.0 | spdx-license-identifier | spdx-license-identifier:\s*\(?mpl-2\.0
+1 | bsd-2-clause | spdx-license-identifier | spdx-license-identifier:\s*\(?bsd-2-clause
+1 | bsd-3-clause | spdx-license-identifier | spdx-license-identifier:\s*\(?bsd-3-clause
+1 | isc | spdx-license-identifier | spdx-license-identifier:\s*\(?isc\b
+1 | unlicense | spdx-license-identifier | spdx-license-identifier:\s*\(?unlicense
+1 | cc0-1.0 | spdx-license-identifier | spdx-license-identifier:\s*\(?cc0-1\.0
+1 | epl-2.0 | spdx-license-identifier | spdx-license-identifier:\s*\(?epl-2\.0
 # whole notices
 1 | mit | permission is hereby granted | permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
 1 | mit | the software is provided | the software is provided as is,? without warranty of any kind, express or implied
@@ -60,7 +61,7 @@ RULES = r"""
 1 | psf-2.0 | python software foundation | python software foundation license,? version 2
 1 | beerware | beer-ware | the beer-ware license\W+revision 42
 1 | ofl-1.1 | open font license | licensed under the sil open font license,? version 1\.1
-1 | eupl-1.2 | european union public | licensed under the eupl,? version 1\.2
+1 | eupl-1.2 | licensed under the eupl | licensed under the eupl,? version 1\.2
 1 | odbl-1.0 | open database license | made available under the open database license
 1 | curl | permission to use | permission to use, copy, modify,? and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
 1 | mit-modern | permission is hereby granted | permission is hereby granted, without written agreement and without license or royalty fees
@@ -176,7 +177,7 @@ RULES = r"""
 2 | ecl-2.0 | educational community | educational community license,? (?:v(?:ersion|\.)? ?)?2\.0
 2 | ncsa | university of illinois | university of illinois/?\W*ncsa open source license
 2 | blueoak-1.0.0 | blue oak model | blue oak model license(?:,? (?:v(?:ersion)?\.? ?)?1\.0\.0)?
-2 | openrail-m | openrail | \b(?:bigscience |creativeml )?open ?rail(?:-m|\+\+-m)?\b
+2 | openrail-m | rail | \b(?:bigscience |creativeml )?open ?rail(?:-m|\+\+-m)?\b
 2 | llama-2 | llama 2 community | llama 2 community license
 2 | llama-3 | llama 3 community | llama 3(?:\.\d)? community license
 2 | ogl-3.0 | open government licen | open government licen[cs]e,? (?:v(?:ersion)?\.? ?)?3\.0
@@ -198,7 +199,8 @@ RULES = r"""
 3 | bsd-3-clause | 3-clause bsd | \b3-clause bsd\b
 3 | bsd-2-clause | bsd-2-clause | \bbsd-2-clause\b
 3 | bsd-3-clause | bsd-3-clause | \bbsd-3-clause\b
-3 | 0bsd | 0bsd | \b0bsd\b|\bzero-clause bsd\b
+3 | 0bsd | 0bsd | \b0bsd\b
+3 | 0bsd | zero-clause bsd | \bzero-clause bsd\b
 3 | apache | apache license | \b(?:the )?apache (?:software )?license\b
 3 | apache | apache licence | \bapache licence\b
 3 | gpl | general public license | \bgnu general public license\b
@@ -241,14 +243,14 @@ RULES = r"""
 3 | eupl | european union public | \beuropean union public licen[cs]e\b
 3 | odbl | open database license | \bopen (?:data commons )?database license\b
 3 | odc-by | open data commons | \bopen data commons attribution license\b
-3 | pddl | public domain dedication | \bpublic domain dedication and licen[cs]e\b
+3 | pddl | public domain dedication | \bpublic domain dedication (?:and|&) licen[cs]e\b
 3 | osl | open software license | \bopen software license\b
 3 | afl | academic free license | \bacademic free license\b
 3 | lppl | latex project public | \blatex project public license\b
 3 | beerware | beerware | \bbeerware\b
 3 | openssl | openssl license | \bopenssl license\b
 3 | vim | vim license | \bvim license\b
-3 | postgresql | postgresql license | \bpostgresql licen[cs]e\b
+3 | postgresql | postgresql licen | \bpostgresql licen[cs]e\b
 3 | w3c | w3c software | \bw3c software (?:notice|license)\b
 3 | zpl | zope public license | \bzope public license\b
 3 | ogl | open government licen | \bopen government licen[cs]e\b
@@ -281,6 +283,6 @@ RULES = r"""
 4 | eula | eula | \beula\b
 4 | terms | terms of use | \bsubject to (?:the )?terms of use\b
 4 | warranty-disclaimer | without warrant | \bwithout warrant(?:y|ies) of any kind\b
-4 | open-source | open source license | \bopen source licen[cs]e\b
-4 | free-software | free software license | \bfree software licen[cs]e\b
+4 | open-source | open source licen | \bopen source licen[cs]e\b
+4 | free-software | free software licen | \bfree software licen[cs]e\b
 """

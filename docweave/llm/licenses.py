@@ -26,7 +26,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.75, 4: 0.5}
 
 
-_GAP = r"[\s*#/;\"'>-]+"
+_GAP = r"[\s*#/;\"'>-]"
 
 
 class Rule:
@@ -35,8 +35,8 @@ class Rule:
     def __init__(self, order: int, line: str):
         priority, self.label, keyword, pattern = (x.strip() for x in line.split("|", 3))
         self.order, self.priority, self.keyword = order, int(priority), keyword.encode()
-        # a blank outside a class stands for any white space and comment marks between words
-        self.pattern = re.compile(re.sub(r"\[[^]]*\]| ", lambda m: _GAP if m[0] == " " else m[0], pattern).encode())
+        # a blank outside a class stands for any white space and comment marks between words, one with ? for none as well
+        self.pattern = re.compile(re.sub(r"\[[^]]*\]| \??", lambda m: {" ": _GAP + "+", " ?": _GAP + "*"}.get(m[0], m[0]), pattern).encode())
 
 
 @cache
@@ -135,9 +135,11 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("labe
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    Only ASCII letters are folded. A null text is empty: no words, no labels, score 0. spans are
-    the surviving detections with byte offsets into the UTF-8 text. Rows are judged on their own, so
-    repeated rows repeat their result; only doc_id and text are read.
+    Only ASCII letters are folded. A null or empty text has no words, no labels (empty strings), score 0 and null places. spans are
+    the surviving detections with byte offsets into the UTF-8 text; of two rules that cover the same span the one of
+    higher priority, then the earlier, wins. Texts are read whole, however long. Rows are judged on their own, so
+    repeated rows repeat their result; a null doc_id is carried through; an empty table gives an empty result; only
+    doc_id and text are read.
     """
     source = docs.select(null_safe(docs, "doc_id", "long"), null_safe(docs, "text", "string"))
     return source.mapInArrow(
@@ -147,4 +149,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_report(docs: DataFrame) -> DataFrame:
+    """The digest of the registered query: ``scan_licenses`` without spans; edge cases as there."""
     return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
