@@ -81,6 +81,23 @@ def null_safe(df: DataFrame, name: str, dtype: str) -> Column:
     return F.col(f"`{name}`").cast(dtype).alias(name) if name in df.columns else F.lit(None).cast(dtype).alias(name)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until no column of the frames has it (names are compared without case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``docs``, written once, with a number of their own, and the name of that column.
+
+    Decisions about single rows are joined back by it, so repeated rows, null ids and clashing names can't blur them.
+    """
+    name = unused("row_no", docs)
+    return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 # -- fixed-size sketches -----------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ of a domain are the sum over documents of tokens x rate x posterior. Projected g
 weighted least squares distance of these totals from the targets starts from rate 1 and keeps rates
 nonnegative. A step takes one pass over a narrow table on the executors and returns one number for
 each domain; a document's rate follows from its own posterior and the steps' errors, so rates are
-never gathered. Rates then become whole copies by a hash of the row.
+never gathered. Rates then become whole copies by a systematic draw.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, add_sketches, null_safe, sketch_rows
+from .common import Scratch, add_sketches, null_safe, numbered, sketch_rows, unused
 from .features import NAMES, standardise, text_stats
 from .pu_quality import _adam
 from .textbytes import distinct_per_row
@@ -30,10 +31,10 @@ SAMPLE = 20_000
 SLOTS, PIECES, CHOSEN = 1 << 18, 64, 192
 #: Most steps of the descent, and the largest error of a domain, as a share of its tokens, at which it stops.
 STEPS, ENOUGH = 40, 1e-4
+#: Rates this close to a whole number are that number, in the fit as in its result: what is all but surely clean stays as it is.
+NEAR = 0.02
 #: Steps after which the rates are written down.
 WRITTEN = 6
-#: Rates this close to a whole number are taken as that number.
-ROUND = 0.02
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -112,7 +113,7 @@ def _posteriors(model):
                 n.append(count)
                 p.append(m.posterior(x, words) if m else np.tile(np.eye(len(DOMAINS))[0], (len(x), 1)))
             p = np.round(np.concatenate(p), 6)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n)), b.column(2), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], ["doc_id", "n_tokens", "row_hash", *(f"p_{x}" for x in DOMAINS)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n)), b.column(2), b.column(3), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], ["doc_id", "n_tokens", "row_hash", "row_no", *(f"p_{x}" for x in DOMAINS)])
 
     return run
 
@@ -152,6 +153,10 @@ def _rate(errors: list[np.ndarray], most: float) -> Column:
     return F.expr(sql)
 
 
+def _whole(rate: Column) -> Column:
+    return F.when(F.abs(rate - F.round(rate)) <= NEAR, F.round(rate)).otherwise(rate)
+
+
 def goals(have: np.ndarray, want: np.ndarray) -> np.ndarray:
     """Tokens to keep of each domain, of the tokens at hand and the target weights.
 
@@ -169,22 +174,8 @@ def goals(have: np.ndarray, want: np.ndarray) -> np.ndarray:
     return np.minimum(want * whole, have)
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, p_<domain>, rate, copies, row_hash.
-
-    Targets are shares of the expected tokens, and ``goals`` sets the size of the whole so that no document needs to
-    be repeated; a scarce domain stays below its target. ``most`` bounds the rates. A text that is null or empty has no
-    tokens and keeps rate by its posterior; without labels every document is clean. copies is the whole part
-    of rate, and one more by a hash of doc_id and text against its fraction: repeated rows agree.
-    """
-    targets = TARGETS if targets is None else targets
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    source = docs.select(null_safe(docs, "doc_id", "long"), null_safe(docs, "text", "string"))
-    model = spark.sparkContext.broadcast(fit_classifier(source, labels))
-    schema = "doc_id long, n_tokens long, row_hash long, " + ", ".join(f"p_{x} double" for x in DOMAINS)
-    rows = source.withColumn("row_hash", F.xxhash64("doc_id", "text")).mapInArrow(_posteriors(model), schema)
-    rows = scratch.keep(rows.withColumn("rate", F.lit(1.0)))
+def _fit_rates(rows: DataFrame, targets: dict[str, float], most: float, scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
+    """``rows`` with their rates, the remaining error of each domain as a share of its tokens, and how many steps were taken."""
 
     def totals(rate):
         r = rows.agg(*[F.coalesce(F.sum(F.col("n_tokens") * rate * F.col(f"p_{x}")), F.lit(0.0)) for x in DOMAINS]).first()
@@ -193,29 +184,109 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     have = totals(F.lit(1.0))
     goal = goals(have, np.array([targets.get(x, 0.0) for x in DOMAINS]))
     errors: list[np.ndarray] = []
-    before = np.full(len(DOMAINS), np.inf)
-    for _ in range(STEPS):
-        off = (totals(_rate(errors, most)) - goal) / np.maximum(have, 1.0)
-        if np.abs(off).max() < ENOUGH or np.abs(off - before).max() < ENOUGH / 10:
+    before, off, n = np.full(len(DOMAINS), np.inf), np.zeros(len(DOMAINS)), 0
+    for n in range(STEPS + 1):
+        off = (totals(_whole(_rate(errors, most))) - goal) / np.maximum(have, 1.0)
+        if n == STEPS or np.abs(off).max() < ENOUGH or np.abs(off - before).max() < ENOUGH / 10:
             break  # on target, or as near as the bound on the rates allows
         before = off
         errors.append(off)
         if len(errors) == WRITTEN:  # keeps the expression short
             rows, errors = scratch.keep(rows.withColumn("rate", _rate(errors, most))), []
-    rate = _rate(errors, most)
-    rate = F.when(F.abs(rate - F.round(rate)) <= ROUND, F.round(rate)).otherwise(rate)
-    part = F.pmod(F.xxhash64("row_hash"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rows.withColumn("rate", F.round(rate, 6)).withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    return rows.withColumn("rate", F.round(_whole(_rate(errors, most)), 6)), off, n
+
+
+#: Rows that a range of the systematic draw should hold at most.
+RANGE_ROWS = 200_000
+
+
+def _copies(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with copies: the whole part of each rate, and of the fractions a systematic draw.
+
+    Rows with a fraction are put in order of their likeliest domain, tokens and a hash, and every row where the running sum of
+    fractions passes a whole number (shifted by a half) gets one more copy: so copies of any stretch of that order, and
+    with it tokens of any domain, are within one row of what the rates say. The order is cut into ranges; only their sums, one
+    number each, meet on the driver. What ties in all of these is told apart by the rows' numbers, so no range is filled by it.
+    """
+    whole = F.floor(F.col("rate")).cast("long")
+    part = rows.where(F.col("rate") > whole)
+    if not part.take(1):
+        return rows.withColumn("copies", whole)
+    n = part.count()
+    top = F.greatest(*[F.col(f"p_{x}") for x in DOMAINS])
+    domain = F.lit(len(DOMAINS))
+    for k, x in reversed(list(enumerate(DOMAINS))):
+        domain = F.when(F.col(f"p_{x}") == top, k).otherwise(domain)
+    order = [domain.alias("dom"), "n_tokens", "row_hash", F.xxhash64("row_no").alias("mixed")]
+    ranges = max(1, -(-n // RANGE_ROWS))
+    keys = part.select("row_no", *order, (F.round((F.col("rate") - whole) * 1_000_000)).cast("long").alias("millionths"))
+    placed = scratch.keep(keys.repartitionByRange(ranges, "dom", "n_tokens", "row_hash", "mixed").withColumn("range", F.spark_partition_id()))
+    before, sums = {}, 0
+    for r in sorted(placed.groupBy("range").agg(F.sum("millionths").alias("s")).collect(), key=lambda r: r["range"]):
+        before[r["range"]], sums = sums, sums + r.s
+    offsets = rows.sparkSession.createDataFrame(list(before.items()), "range int, before long")
+    upto = F.sum("millionths").over(W.partitionBy("range").orderBy("dom", "n_tokens", "row_hash", "mixed", "row_no").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("before") + 500_000
+    more = placed.join(F.broadcast(offsets), "range").withColumn("upto", upto).where(F.expr("upto div 1000000 > (upto - millionths) div 1000000")).select("row_no", F.lit(1).cast("long").alias("more"))
+    return rows.join(scratch.keep(more), "row_no", "left").withColumn("copies", whole + F.coalesce("more", F.lit(0))).drop("more")
+
+
+class Mixture:
+    """The rates of a corpus: ``rows`` (row_no, doc_id, n_tokens, row_hash, p_<domain>, rate, copies), and how near they came.
+
+    ``residual`` has, for each domain, expected tokens less those to be kept, as a share of the tokens there were:
+    within ``ENOUGH`` where the descent met its targets. ``steps`` is how many steps it took.
+    """
+
+    def __init__(self, rows: DataFrame, residual: dict[str, float], steps: int):
+        self.rows, self.residual, self.steps = rows, residual, steps
+
+
+def _mixture(numbered_docs: DataFrame, row_no: str, labels: DataFrame, targets: dict[str, float] | None, most: float, scratch: Scratch) -> Mixture:
+    source = numbered_docs.select(null_safe(numbered_docs, "doc_id", "long"), null_safe(numbered_docs, "text", "string"), F.col(row_no).alias("row_no"))
+    model = source.sparkSession.sparkContext.broadcast(fit_classifier(source.select("doc_id", "text"), labels))
+    schema = "doc_id long, n_tokens long, row_hash long, row_no long, " + ", ".join(f"p_{x} double" for x in DOMAINS)
+    rows = source.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash"), "row_no").mapInArrow(_posteriors(model), schema)
+    rows = scratch.keep(rows.withColumn("rate", F.lit(1.0)))
+    rows, off, steps = _fit_rates(rows, TARGETS if targets is None else targets, most, scratch)
+    return Mixture(_copies(scratch.keep(rows), scratch), dict(zip(DOMAINS, off.tolist())), steps)
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> Mixture:
+    """Rates and copies of every row of ``docs``, and the residual of the fit.
+
+    ``targets`` are shares of the expected tokens by domain, by default ``TARGETS``, which ask for as much clean text as a
+    filtered web corpus has, so that clean documents stay once; ``goals`` sets the size of the whole so that no document needs
+    to be repeated, and a scarce domain stays below its target. ``most`` bounds the rates. A text that is null or
+    empty has no tokens and takes the rate of its posterior; without labels every document is clean. copies are whole: see
+    ``_copies``; repeated rows share their rate, and their copies add up to its multiple. Rows are told apart by numbers of
+    their own, so null and repeated ids don't matter; texts are read whole; an empty table gives an empty result. Only
+    doc_id and text are read.
+    """
+    scratch = Scratch(docs.sparkSession)
+    # the ids of the rows of a table or of a written frame come out alike whenever they are read
+    name = unused("row_no", docs)
+    return _mixture(docs.withColumn(name, F.monotonically_increasing_id()), name, labels, targets, most, scratch)
+
+
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, p_<domain>, rate, copies; see ``mix``."""
+    return mix(docs, labels, targets, most).rows.select("doc_id", "n_tokens", *[f"p_{x}" for x in DOMAINS], "rate", "copies")
 
 
 def mixing_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return document_rates(docs, labels).select("doc_id", "n_tokens", *[f"p_{x}" for x in DOMAINS], "rate", "copies")
+    """The digest of the registered query: ``document_rates`` and, the same in every row, the residual of the clean domain's
+    fit and of the worst one (shares of a domain's tokens); edge cases as in ``mix``."""
+    m = mix(docs, labels)
+    worst = max(map(abs, m.residual.values()))
+    return m.rows.select("doc_id", "n_tokens", *[f"p_{x}" for x in DOMAINS], "rate", "copies", F.lit(round(worst, 6)).alias("residual"))
 
 
 def apply_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say; all their columns as they are."""
-    rates = document_rates(docs, labels, targets).where("copies <> 1").groupBy(F.col("row_hash").alias("__row")).agg(F.first("copies").alias("__copies"))
-    row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    joined = docs.withColumn("__row_hash", row).join(rates, F.col("__row_hash") == F.col("__row"), "left")
-    times = F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1)).cast("int"))
-    return joined.withColumn("__n", F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, each as often as its copies say; all their columns, of any names, as they are. Edge cases as in ``mix``."""
+    scratch = Scratch(docs.sparkSession)
+    rows, row_no = numbered(scratch, docs)
+    times = _mixture(rows, row_no, labels, targets, 1.0, scratch).rows.where("copies <> 1")
+    copies, one = unused("copies", rows), unused("one", rows)
+    times = times.select(F.col("row_no").alias(row_no), F.col("copies").cast("int").alias(copies))
+    joined = rows.join(times, row_no, "left").withColumn(one, F.explode(F.array_repeat(F.lit(1), F.coalesce(F.col(copies), F.lit(1)))))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

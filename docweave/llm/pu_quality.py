@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, null_safe
+from .common import null_safe
 from .features import NAMES, standardise, text_stats
 
-#: Bound on the rows that the model is fitted on: so many positives, and as many unlabelled rows, drawn by a hash of doc_id.
+#: Bound on the rows that the model is fitted on: about so many positives, and as many unlabelled rows, drawn by a hash of doc_id; never more than 1.2 times as many.
 SAMPLE = 20_000
 #: Steps of gradient descent (Adam, full batch) and weight of the penalty on squared weights.
 STEPS, PENALTY = 400, 1e-3
@@ -30,10 +30,10 @@ REGIONS = np.linspace(0.3, 0.9, 25)
 
 def _features(batches):
     for b in batches:
-        parts = [x for _, x, *_ in text_stats(b.column(1))]
+        parts = [x for _, x, *_ in text_stats(b.column(0))]
         flat = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
         at = pa.array(np.arange(b.num_rows + 1) * len(NAMES), pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(flat))], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(at, pa.array(flat))], ["good", "x"])
 
 
 def _adam(gradient, w: np.ndarray, steps: int = STEPS, rate: float = 0.05) -> np.ndarray:
@@ -87,18 +87,34 @@ def _matrix(rows: list) -> np.ndarray:
     return np.array([r.x for r in rows], np.float64).reshape(len(rows), len(NAMES))
 
 
-def _draw(df: DataFrame, n: int) -> list:
-    """About ``n`` rows or all, by a hash of doc_id; never more than 1.2 n."""
-    total = df.count()
-    share = min(1.0, n / max(1, total))
-    return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("x").limit(int(1.2 * n)).collect()
+def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model | None:
+    """The model that scores quality, from at most 1.2 ``SAMPLE`` positives and as many unlabelled rows of (doc_id, text).
+
+    The sample is drawn by a hash of doc_id from ids and labels alone, so only the texts drawn are read for their features.
+    """
+    learn = F.lit(True) if learn is None else learn
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    ids = docs.where("doc_id is not null").where(learn).select("doc_id").join(good, "doc_id", "left").select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"))
+    n = {r.good: r["count"] for r in ids.groupBy("good").count().collect()}
+    if not n.get(True):
+        return None
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    share = lambda g: int(1_000_000 * min(1.0, SAMPLE / max(1, n.get(g, 0))))
+    picked = ids.where(drawn < F.when(F.col("good"), share(True)).otherwise(share(False))).distinct()
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "good").mapInArrow(_features, "good boolean, x array<float>")
+    p, u = (_matrix(rows.where(F.col("good") == g).limit(int(1.2 * SAMPLE)).collect()) for g in (True, False))
+    return Model(p, u if len(u) else p) if len(p) else None
 
 
 def _score(model):
+    """Rows as they come, with a score of the text that is their last column."""
+
     def run(batches):
         for b in batches:
-            x = b.column(1).values.to_numpy().reshape(b.num_rows, len(NAMES)) if b.num_rows else np.zeros((0, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score(x) if model.value else np.ones(b.num_rows))], ["doc_id", "score"])
+            m = model.value
+            parts = [m.score(x) for _, x, *_ in text_stats(b.column(b.num_columns - 1))] if m else []
+            score = np.concatenate(parts) if parts else np.ones(b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "score"])
 
     return run
 
@@ -108,40 +124,42 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = Non
 
     ``labels`` gives doc_id and quality (1 is trusted); ``learn`` is a condition on doc_id that rows must meet
     to teach anything. A doc_id with several labels is trusted only if all are 1; null labels and labels of
-    absent documents are ignored. Only the text makes the score, and a null text counts as empty. Without
-    both positives and unlabelled rows nothing can be learned and every score is 1.
+    absent documents are ignored, and rows without a doc_id teach nothing. Only the text makes the score, so repeated rows and
+    ties score alike; a null text counts as empty; texts are read whole, however long. Without trusted rows nothing
+    can be learned and every score is 1. An empty table gives an empty result. Only doc_id and text are read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    learn = F.lit(True) if learn is None else learn
     source = docs.select(null_safe(docs, "doc_id", "long"), null_safe(docs, "text", "string"))
-    x = scratch.keep(source.mapInArrow(_features, "doc_id long, x array<float>"))
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = x.where(learn).join(good, "doc_id", "left")
-    p, u = _draw(rows.where("quality = 1"), SAMPLE), _draw(rows.where("quality is null or quality <> 1"), SAMPLE)
-    if not u:
-        u = _draw(rows, SAMPLE)
-    share = rows.agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
-    model = Model(_matrix(p), _matrix(u)) if p and u else None
-    sent = spark.sparkContext.broadcast(model)
-    out = x.mapInArrow(_score(sent), "doc_id long, score double")
-    out._model, out._share = model, share
-    return out
+    sent = docs.sparkSession.sparkContext.broadcast(fit_quality(source, labels, learn))
+    return source.mapInArrow(_score(sent), "doc_id long, score double")
+
+
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The folds of the registered query: rows whose crc32(doc_id) mod 5 is 0 teach nothing."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    scored = score_quality(docs, labels, fold != 0)
+    """The folds of the registered query: rows whose crc32(doc_id) mod 5 is 0 teach nothing; a null doc_id isn't held out. Edge cases as in ``score_quality``."""
     score = F.round("score", 6)
-    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
+    return score_quality(docs, labels, _fold() != 0).select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
+
+
+def _keep(model, at: int):
+    def run(batches):
+        for b in batches:
+            m = model.value
+            parts = [m.score(x) for _, x, *_ in text_stats(b.column(at))] if m else []
+            score = np.concatenate(parts) if parts else np.ones(b.num_rows)
+            yield b.filter(pa.array(np.round(score, 6) >= CUT))
+
+    return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``CUT``; all their columns as they are."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    score = score_quality(docs, labels, fold != 0)
-    bad = score.where(F.round("score", 6) < CUT).groupBy(F.col("doc_id").alias("__bad")).count()
-    good = score.where(F.round("score", 6) >= CUT).select(F.col("doc_id").alias("__good")).distinct()
-    bad = bad.join(good, F.col("__bad").eqNullSafe(F.col("__good")), "left_anti")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` with a score of at least ``CUT``; all their columns, of any names, as they are.
+
+    Each row is decided by its own text, so repeated rows go or stay together and null ids don't matter; a null text
+    counts as empty. One pass over the texts beside the bounded sample. Edge cases as in ``score_quality``.
+    """
+    source = docs.select(null_safe(docs, "doc_id", "long"), null_safe(docs, "text", "string"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit_quality(source, labels, _fold() != 0))
+    return docs.mapInArrow(_keep(sent, docs.columns.index("text")), docs.schema)

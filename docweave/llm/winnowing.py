@@ -60,8 +60,13 @@ class Fingerprints:
         for n, h in enumerate(self.words):
             if len(h) >= window:
                 grams = window_hashes(h, k)
-                for q in np.flatnonzero(np.isin(grams, _window_minima(grams, window - k + 1))).tolist():
-                    places.setdefault(int(grams[q]), []).append((n, q))
+                # places with equal words all around, as far as a window with them reaches, find the same hits: one is enough
+                q = np.flatnonzero(np.isin(grams, _window_minima(grams, window - k + 1)))
+                reach = window - k
+                wide = np.concatenate([np.zeros(reach, np.uint64), h, np.zeros(reach, np.uint64)])
+                around = window_hashes(wide, 2 * reach + k)
+                for i in np.sort(np.unique(around[q], return_index=True)[1]).tolist():
+                    places.setdefault(int(grams[q[i]]), []).append((n, int(q[i])))
             elif len(h):
                 self.short.setdefault(len(h), {}).setdefault(int(window_hashes(h, len(h))[0]), []).append(n)
         self.places = places
@@ -85,16 +90,23 @@ class Fingerprints:
             row = np.searchsorted(first, at, "right") - 1
             inside = at + self.window <= first[row + 1]
             seen: dict[tuple[int, int, int], int] = {}
+            spent: dict[tuple[int, int], tuple[int, int]] = {}
+            reach = self.window - self.k
             for i, r in zip(at[inside].tolist(), row[inside].tolist()):
                 a, b = int(first[r]), int(first[r + 1])
                 for p in (i + np.flatnonzero(grams[i : i + w] == least[i])).tolist():
                     for n, q in self.places[int(grams[p])]:
                         if seen.get((r, n, p - q), -1) > p:
                             continue
+                        # every window with this gram lies in a span of the item that is known already
+                        s, e = spent.get((r, n), (0, 0))
+                        if s <= max(a, p - reach) and min(b, p + self.window) <= e:
+                            continue
                         s, e = self._extend(h, a, b, p, self.words[n], q)
                         seen[r, n, p - q] = e
                         if e - s >= self.window:
                             out.setdefault(r, []).append((n, s - a, e - a))
+                            spent[r, n] = (s, e)
         for m, table in self.short.items():
             found = window_hashes(h, m)
             at = np.flatnonzero(self._known(found, self.short_sorted[m]))
@@ -184,7 +196,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; edge cases as in ``mark_contaminated``."""
     marked = mark_contaminated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, k)
     return marked.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
@@ -192,8 +204,12 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` without a hit; all their columns as they are."""
-    return mark_contaminated(docs, benchmark, window, k, "__mark_").where("__mark_n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without a hit; all their columns, of any names, as they are. Each row is decided by its own text, so
+    repeated rows and null ids don't matter; edge cases as in ``mark_contaminated``."""
+    prefix = "mark_"
+    while any((prefix + n).lower() in {c.lower() for c in docs.columns} for n, _ in _ADDED):
+        prefix += "_"
+    return mark_contaminated(docs, benchmark, window, k, prefix).where(F.col(f"{prefix}n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report_by_brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> list[tuple]:
