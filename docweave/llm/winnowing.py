@@ -92,21 +92,24 @@ class Fingerprints:
             seen: dict[tuple[int, int, int], int] = {}
             spent: dict[tuple[int, int], tuple[int, int]] = {}
             reach = self.window - self.k
-            for i, r in zip(at[inside].tolist(), row[inside].tolist()):
+            at = at[inside]
+            # where the fingerprints stand; neighbouring windows mostly share theirs
+            p_all = np.unique(np.concatenate([at[grams[at + j] == least[at]] + j for j in range(w)]))
+            row = np.searchsorted(first, p_all, "right") - 1
+            for p, r in zip(p_all.tolist(), row.tolist()):
                 a, b = int(first[r]), int(first[r + 1])
-                for p in (i + np.flatnonzero(grams[i : i + w] == least[i])).tolist():
-                    for n, q in self.places[int(grams[p])]:
-                        if seen.get((r, n, p - q), -1) > p:
-                            continue
-                        # every window with this gram lies in a span of the item that is known already
-                        s, e = spent.get((r, n), (0, 0))
-                        if s <= max(a, p - reach) and min(b, p + self.window) <= e:
-                            continue
-                        s, e = self._extend(h, a, b, p, self.words[n], q)
-                        seen[r, n, p - q] = e
-                        if e - s >= self.window:
-                            out.setdefault(r, []).append((n, s - a, e - a))
-                            spent[r, n] = (s, e)
+                for n, q in self.places[int(grams[p])]:
+                    if seen.get((r, n, p - q), -1) > p:
+                        continue
+                    # every window with this gram lies in a span of the item that is known already
+                    s, e = spent.get((r, n), (0, 0))
+                    if s <= max(a, p - reach) and min(b, p + self.window) <= e:
+                        continue
+                    s, e = self._extend(h, a, b, p, self.words[n], q)
+                    seen[r, n, p - q] = e
+                    if e - s >= self.window:
+                        out.setdefault(r, []).append((n, s - a, e - a))
+                        spent[r, n] = (s, e)
         for m, table in self.short.items():
             found = window_hashes(h, m)
             at = np.flatnonzero(self._known(found, self.short_sorted[m]))
