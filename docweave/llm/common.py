@@ -59,10 +59,6 @@ class Scratch:
         except Exception:  # the session may have ended before the process does
             pass
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps now: it does so when the driver's JVM collects its garbage."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"
         df.write.parquet(path)

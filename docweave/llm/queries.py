@@ -10,42 +10,52 @@ from .common import documents
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents; edge cases as in ``ngram_join.ngram_jaccard_join``."""
     return ngram_join.ngram_jaccard_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of embeddings; edge cases as in ``spherical_caps.cap_near_duplicates``."""
     return spherical_caps.cap_near_duplicates(documents(spark, sf_dir, "embeddings"))
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of pages; edge cases as in ``main_text.extract_main_text``."""
     return main_text.extract_main_text(documents(spark, sf_dir, "pages"))
 
 
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents, learned from labels outside of the held-out fold; edge cases as in ``pu_quality.score_quality``."""
     return pu_quality.quality_report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents; edge cases, and where the key comes from, as in ``pseudonyms.pseudonym_report``."""
     return pseudonyms.pseudonym_report(documents(spark, sf_dir))
 
 
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents in 24 shards; edge cases as in ``sharding.shard_report``."""
     return sharding.shard_report(documents(spark, sf_dir))
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents against all items; edge cases as in ``winnowing.mark_contaminated``."""
     return winnowing.decontamination_report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents, mixed to the default targets; edge cases as in ``mixing.mix``."""
     return mixing.mixing_report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents, learned outside of the held-out fold; edge cases as in ``kneser_ney.identify_languages``."""
     return kneser_ney.language_report(documents(spark, sf_dir))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents; edge cases as in ``licenses.scan_licenses``."""
     return licenses.license_report(documents(spark, sf_dir))
 
 
