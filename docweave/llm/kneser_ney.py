@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -208,16 +209,19 @@ class Model:
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """What the model adds to the log probability of each word by each language, and the word's places."""
         grams, word, place, ends = _all_grams(words)
-        scores = np.zeros((len(words), len(self.langs)))
-        for k, (keys, gain, weight) in enumerate(self.tables):
-            out = np.where(place > 0, self.base[k], 0.0)
-            for g in grams if len(keys) else ():
-                j = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                hit = (keys[j] == g) & (g != 0)
-                out += np.where(hit & (place > 0), gain[j], 0)
+        out = [np.where(place > 0, x, 0.0) for x in self.base]
+        for g in grams:
+            distinct, at = np.unique(g, return_inverse=True)
+            inner, context = at[place > 0], at[~ends]
+            for total, (keys, gain, weight) in zip(out, self.tables):
+                if not len(keys):
+                    continue
+                j = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                hit = (keys[j] == distinct) & (distinct != 0)
+                total[place > 0] += np.where(hit, gain[j], 0)[inner]
                 # as the context of the next place; the longest is of ORDER - 1 characters, longer n-grams have no weight
-                out += np.where(hit & ~ends, weight[j], 0)
-            scores[:, k] = np.bincount(word, out, len(words))
+                total[~ends] += np.where(hit, weight[j], 0)[context]
+        scores = np.stack([np.bincount(word, x, len(words)) for x in out], 1) if out else np.zeros((len(words), 0))
         return scores, np.bincount(word[place > 0], minlength=len(words))
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,15 +232,15 @@ class Model:
         per = [Counter(_WORD.findall(t.lower())) if t else Counter() for t in texts]
         if len(self._kept) > KEPT_WORDS:
             self._kept, self._scores, self._places = {}, self._scores[:0], self._places[:0]
-        fresh = list({w: None for own in per for w in own if w not in self._kept})
+        fresh = [w for w in set().union(*per) if w not in self._kept]
         if fresh:
             self._kept.update(zip(fresh, range(len(self._kept), len(self._kept) + len(fresh))))
             scores, places = self.word_scores(fresh)
             self._scores, self._places = np.concatenate([self._scores, scores]), np.concatenate([self._places, places])
         sizes = np.array([len(own) for own in per], np.int64)
         n = int(sizes.sum())
-        nums = np.fromiter((self._kept[w] for own in per for w in own), np.int64, n)
-        counts = np.fromiter((c for own in per for c in own.values()), np.int64, n)
+        nums = np.fromiter(chain.from_iterable(map(self._kept.__getitem__, own) for own in per), np.int64, n)
+        counts = np.fromiter(chain.from_iterable(own.values() for own in per), np.int64, n)
         row = np.repeat(np.arange(len(texts)), sizes)
         total = np.stack([np.bincount(row, self._scores[nums, k] * counts, len(texts)) for k in range(len(self.langs))], 1) if self.langs else np.zeros((len(texts), 0))
         return total, np.bincount(row, self._places[nums] * counts, len(texts))
