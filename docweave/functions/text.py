@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
@@ -135,6 +136,12 @@ def slug_unicode(title: pd.Series) -> pd.Series:
     return title.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """Character references decoded, all of them, which no built-in function does; for attribute values, which are few and short."""
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
 def signature(code: Column, path: Column, match: Column) -> Column:
     """Stable identity of a finding: line numbers don't matter."""
     return F.substring(F.sha2(F.concat_ws(":", F.upper(code), F.ltrim(path, F.lit("./")), match), 256), 1, 16)

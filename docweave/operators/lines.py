@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import find_all, first_match, matches, replace_all, strip
+from .graph import written
 
 MARKER = r"^(?:```|~~~)"
 HEADING = r"^(#{1,6})\s+(.+)$"
@@ -22,8 +23,11 @@ def _split(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.endswith(text, F.lit("\n")), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
-def _before(positions: Column, at: Column) -> Column:
-    return F.size(F.filter(positions, lambda p: p < at))
+def prepared(docs: DataFrame) -> DataFrame:
+    """``docs`` whose lines are split and told apart once, and written: all rules on the frame returned read that table."""
+    out = docs.select("doc_path", "text")
+    out._docweave_lines = written(document_lines(docs))
+    return out
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -32,8 +36,11 @@ def document_lines(docs: DataFrame) -> DataFrame:
     in_fence and is_marker follow the simple rule: every line that starts, after blanks, with three backticks or tildes
     toggles. fence_kind follows the strict rule (``open``, ``close``, ``in`` or null): a fence opens at column 0 and is closed
     only by the same character, at least as long, with nothing after it. in_frontmatter: from a first line ``---`` to
-    the next, both included; fences within don't count for in_fence.
+    the next, both included; fences within don't count for in_fence. Lines of one state in a row are one segment: states are
+    computed for each segment, of which a document has a few for each fence, and lines are exploded from it.
     """
+    if (lines := getattr(docs, "_docweave_lines", None)) is not None:
+        return lines
     rows = docs.select("doc_path", _split(F.col("text")).alias("lines")).withColumn("numbers", F.expr("sequence(1, greatest(size(lines), 1))"))
     rows = rows.withColumn("closing", F.expr("filter(numbers, i -> i > 1 AND i <= size(lines) AND btrim(lines[i - 1], ' \\t\\r\\f') = '---')"))
     fm = F.when((F.size("lines") > 0) & (strip(F.try_element_at("lines", F.lit(1))) == "---"), F.coalesce(F.try_element_at("closing", F.lit(1)), F.size("lines"))).otherwise(0)
@@ -51,17 +58,15 @@ def document_lines(docs: DataFrame) -> DataFrame:
              s -> CASE WHEN s.open > 0 THEN array_append(s.pairs, named_struct('a', s.open, 'b', size(lines) + 1)) ELSE s.pairs END)"""
     )
     rows = rows.withColumn("fences", fences)
-    out = rows.select("doc_path", "fm_end", "markers", "fences", F.posexplode("lines").alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
-    no = F.col("line_no")
-    kind = F.when(F.exists("fences", lambda f: f["a"] == no), "open").when(F.exists("fences", lambda f: f["b"] == no), "close").when(F.exists("fences", lambda f: (f["a"] < no) & (no < f["b"])), "in")
+    cuts = """array_sort(array_distinct(filter(flatten(array(array(1, fm_end + 1), markers, transform(markers, m -> m + 1),
+                transform(fences, f -> f.a), transform(fences, f -> f.a + 1), transform(fences, f -> f.b), transform(fences, f -> f.b + 1))), p -> p <= size(lines))))"""
+    segment = """transform(cuts, (p, i) -> named_struct('start', p, 'n', coalesce(get(cuts, i + 1), size(lines) + 1) - p,
+                'odd', size(filter(markers, m -> m < p)) % 2 = 1, 'is_marker', array_contains(markers, p), 'in_frontmatter', p <= fm_end,
+                'fence_kind', CASE WHEN exists(fences, f -> f.a = p) THEN 'open' WHEN exists(fences, f -> f.b = p) THEN 'close' WHEN exists(fences, f -> f.a < p AND p < f.b) THEN 'in' END))"""
+    rows = rows.withColumn("cuts", F.expr(cuts)).select("doc_path", "lines", F.explode(F.expr(segment)).alias("s"))
+    out = rows.select("doc_path", "s", F.posexplode(F.slice("lines", F.col("s.start"), F.col("s.n"))).alias("pos", "line"))
     return out.select(
-        "doc_path",
-        "line_no",
-        "line",
-        ((_before(F.col("markers"), no) % 2 == 1) & ~F.array_contains("markers", no)).alias("in_fence"),
-        F.array_contains("markers", no).alias("is_marker"),
-        (no <= F.col("fm_end")).alias("in_frontmatter"),
-        kind.alias("fence_kind"),
+        "doc_path", (F.col("s.start") + F.col("pos")).alias("line_no"), "line", (F.col("s.odd") & ~F.col("s.is_marker")).alias("in_fence"), F.col("s.is_marker"), F.col("s.in_frontmatter"), F.col("s.fence_kind")
     )
 
 

@@ -6,21 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import dirname, find_all, first_match, join_path, matches, replace_all, slug_ascii, strip
+from ..functions.text import dirname, find_all, first_match, join_path, matches, replace_all, slug_ascii, slug_unicode, strip, unescape
+from . import lines
+from .graph import cycle_links, written
 from .lines import document_lines, headings
 
-#: Attributes that HTML links may carry, and folders that mark a path as a system path.
-SAFE_ATTRIBUTES = ["href", "src", "alt", "title", "class", "id", "name", "target", "rel", "width", "height", "loading", "lang", "dir", "style", "role"]
+#: Attributes that HTML links may carry, those that hide where a link leads, and folders that mark a path as a system path.
+SAFE_ATTRIBUTES = ["href", "src", "id", "class", "title", "rel", "target", "lang", "download", "alt", "width", "height", "loading", "decoding", "data-docweave-ignore"]
+OPAQUE_ATTRIBUTES = ["data-url", "data-path", "data-target", "data-route"]
 SYSTEM_FOLDERS = ["etc", "root", "var", "proc", "sys", "usr"]
 INLINE = r"!?\[[^\]]*\]\(([^)\s]*)[^)]*\)"
 DEFINITION = r"^ {0,3}\[([^\]^][^\]]*)\]:\s*(\S+)"
 
 
+def without_comments(text: Column) -> Column:
+    """The text with comments, of one line or more, taken out; their line ends stay, so lines keep their numbers."""
+    joined = F.array_join(F.transform(F.split(text, "<!--"), lambda x, i: F.when(i == 0, x).when(F.instr(x, "-->") > 0, F.concat(F.regexp_replace(F.substring_index(x, "-->", 1), r"[^\n]", ""), F.substr(x, F.instr(x, "-->") + F.lit(3)))).otherwise(F.concat(F.lit("<!--"), x))), "")
+    return F.when(F.contains(text, F.lit("<!--")), joined).otherwise(text)
+
+
 def _visible(docs: DataFrame) -> DataFrame:
     """Lines outside strict fences, with comments and inline code taken out."""
-    rows = document_lines(docs).where("fence_kind IS NULL AND NOT in_frontmatter")
-    clean = replace_all(replace_all(F.col("line"), r"<!--.*?-->"), r"`[^`]+`")
-    return rows.select("doc_path", "line_no", clean.alias("line"))
+    if (seen := getattr(docs, "_docweave_visible", None)) is not None:
+        return seen
+    rows = document_lines(docs.select("doc_path", without_comments(F.col("text")).alias("text"))).where("fence_kind IS NULL AND NOT in_frontmatter")
+    return rows.select("doc_path", "line_no", replace_all(F.col("line"), r"`[^`]+`").alias("line"))
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """``docs`` with its lines, and what of them is visible, written once: every rule on the frame returned reads these tables."""
+    out = lines.prepared(docs)
+    out._docweave_visible = written(_visible(docs))
+    return out
 
 
 def inline_links(docs: DataFrame) -> DataFrame:
@@ -48,6 +65,18 @@ def ref_uses(docs: DataFrame) -> DataFrame:
     return rows.select("doc_path", "line_no", F.lower(strip(F.when(own == "", text).otherwise(own))).alias("ref_id"))
 
 
+def ref_shortcuts(docs: DataFrame) -> DataFrame:
+    """(doc_path, line_no, ref_id) of bracketed texts that are neither links, definitions nor other references: ``[id]`` is one if the id is defined."""
+    rows = _visible(docs).where(F.col("line").contains("["))
+    bare = replace_all(F.col("line"), r"\[[^\]\[]*\](?:\[[^\]\[]*\]|\([^)]*\)|:)")
+    rows = rows.select("doc_path", "line_no", F.explode(find_all(bare, r"\[([^\]\[]+)\]", 1)).alias("ref_id"))
+    return rows.select("doc_path", "line_no", F.lower(strip(F.col("ref_id"))).alias("ref_id"))
+
+
+def _used_ids(docs: DataFrame) -> DataFrame:
+    return ref_uses(docs).unionByName(ref_shortcuts(docs)).select("doc_path", "ref_id").distinct()
+
+
 def dangling_references(docs: DataFrame) -> DataFrame:
     """Uses of ids that their document doesn't define."""
     return ref_uses(docs).join(ref_definitions(docs).select("doc_path", "ref_id").distinct(), ["doc_path", "ref_id"], "left_anti").select("doc_path", "line_no", "ref_id")
@@ -55,7 +84,7 @@ def dangling_references(docs: DataFrame) -> DataFrame:
 
 def dead_definitions(docs: DataFrame) -> DataFrame:
     """First definitions that no reference in their document uses."""
-    return ref_definitions(docs).where("is_first").join(ref_uses(docs).select("doc_path", "ref_id").distinct(), ["doc_path", "ref_id"], "left_anti").select("doc_path", "line_no", "ref_id")
+    return ref_definitions(docs).where("is_first").join(_used_ids(docs), ["doc_path", "ref_id"], "left_anti").select("doc_path", "line_no", "ref_id")
 
 
 def duplicate_definitions(docs: DataFrame) -> DataFrame:
@@ -64,15 +93,21 @@ def duplicate_definitions(docs: DataFrame) -> DataFrame:
 
 def reference_integrity(docs: DataFrame) -> DataFrame:
     """(doc_path, n_defs, n_used, integrity): share of definitions in use, in percent; 100 without any."""
-    used = ref_uses(docs).select("doc_path", "ref_id").distinct().withColumn("used", F.lit(1))
+    used = _used_ids(docs).withColumn("used", F.lit(1))
     per = ref_definitions(docs).where("is_first").join(used, ["doc_path", "ref_id"], "left").groupBy("doc_path").agg(F.count("*").alias("n_defs"), F.count("used").alias("n_used"))
     out = docs.select("doc_path").join(per, "doc_path", "left").fillna(0, ["n_defs", "n_used"])
     return out.withColumn("integrity", F.when(F.col("n_defs") == 0, 100.0).otherwise(F.col("n_used") * 100.0 / F.col("n_defs")))
 
 
+def heading_slugs(docs: DataFrame) -> DataFrame:
+    """(doc_path, line_no, slug) of headings; only titles beyond ASCII leave the JVM, for their decomposition."""
+    rows, plain = headings(docs), F.regexp_like("raw_title", F.lit(r"^[\x00-\x7F]*$"))
+    return rows.where(plain).select("doc_path", "line_no", slug_ascii(F.col("raw_title")).alias("slug")).unionByName(rows.where(~plain).select("doc_path", "line_no", slug_unicode("raw_title").alias("slug")))
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """(doc_path, anchor): heading slugs, explicit ids and HTML ids."""
-    slugs = headings(docs).select("doc_path", slug_ascii(F.col("raw_title")).alias("anchor"))
+    slugs = heading_slugs(docs).select("doc_path", F.col("slug").alias("anchor"))
     ids = _visible(docs).where(F.col("line").contains("id=")).select("doc_path", F.explode(find_all(F.col("line"), r"<[A-Za-z][^>]*\bid=[\"']([^\"']+)[\"']", 1)).alias("anchor"))
     return slugs.unionByName(ids).where("anchor <> ''").distinct()
 
@@ -112,6 +147,7 @@ def resolve(links: DataFrame) -> DataFrame:
     """Adds to local links target (path within the site), anchor and outcome: ``ok`` or ``escapes``."""
     rows = links.where(is_local(F.col("url")))
     path = F.regexp_replace("url", "[?#].*$", "")
+    path = F.when(path.contains("%"), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)).otherwise(path)
     rows = rows.withColumn("anchor", F.regexp_extract("url", "#(.*)$", 1)).withColumn("is_absolute", F.startswith("url", F.lit("/")))
     target = F.when(path == "", F.col("doc_path")).when(F.col("is_absolute"), join_path(F.lit(""), path)).otherwise(join_path(dirname(F.col("doc_path")), path))
     return rows.withColumn("target", target).withColumn("outcome", F.when(F.startswith("target", F.lit("..")), "escapes").otherwise("ok"))
@@ -170,7 +206,7 @@ def empty_labels(docs: DataFrame) -> DataFrame:
 def html_nodes(docs: DataFrame) -> DataFrame:
     """(doc_path, line_no, ordinal, tag, href, attributes, findings) of ``<a>`` and ``<img>``.
 
-    findings: Z205 for a javascript: or data: target (entities decoded), Z124 for event handlers, Z121 for a missing target,
+    findings: Z205 for a javascript: or data: target (entities decoded), Z124 for event handlers and attributes that hide the target, Z121 for a missing target,
     Z122 for ``#``, Z123 for other schemes, Z120 for attributes outside the safe ones.
     """
     tag = r"<(?:a|img|A|IMG)(?:\s[^>]*)?>"
@@ -179,10 +215,12 @@ def html_nodes(docs: DataFrame) -> DataFrame:
     names = F.array_distinct(F.transform(find_all(F.col("raw"), r"\s([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=", 1), F.lower))
     href = strip(first_match(F.col("raw"), r"(?i)\s(?:href|src)\s*=\s*[\"']([^\"']*)[\"']", 1))
     rows = rows.select("doc_path", "line_no", "ordinal", F.lower(first_match(F.col("raw"), r"^<([A-Za-z]+)", 1)).alias("tag"), href.alias("href"), names.alias("attributes"))
-    plain = F.lower(F.regexp_replace(F.replace(F.replace(F.replace("href", F.lit("&#x73;"), F.lit("s")), F.lit("&colon;"), F.lit(":")), F.lit("&amp;"), F.lit("&")), r"[\x00-\x20]", ""))
+    rows = rows.withColumn("decoded", unescape("href"))
+    plain = F.lower(F.regexp_replace("decoded", r"[\x00-\x20]", ""))
     safe = F.array(*[F.lit(x) for x in SAFE_ATTRIBUTES])
-    handlers = F.exists("attributes", lambda a: F.startswith(a, F.lit("on")))
-    unknown = F.exists("attributes", lambda a: ~F.array_contains(safe, a) & ~F.startswith(a, F.lit("on")) & ~F.startswith(a, F.lit("aria-")))
+    opaque = lambda a: F.startswith(a, F.lit("on")) | a.isin(OPAQUE_ATTRIBUTES)
+    handlers = F.exists("attributes", opaque)
+    unknown = F.exists("attributes", lambda a: ~F.array_contains(safe, a) & ~opaque(a) & ~F.startswith(a, F.lit("aria-")))
     bad = F.regexp_like(plain, F.lit("^(javascript|data):"))
     found = F.array_compact(
         F.array(
@@ -194,7 +232,7 @@ def html_nodes(docs: DataFrame) -> DataFrame:
             F.when(unknown, "Z120"),
         )
     )
-    return rows.withColumn("findings", found)
+    return rows.withColumn("findings", found).drop("decoded")
 
 
 def html_findings(docs: DataFrame) -> DataFrame:
@@ -234,3 +272,10 @@ def edges(docs: DataFrame) -> DataFrame:
     known = docs.select(F.col("doc_path").alias("target"))
     rows = page_links(docs).where("outcome = 'ok'").join(known, "target", "left_semi")
     return rows.select(route_url(F.col("doc_path")).alias("src"), route_url(F.col("target")).alias("dst")).distinct()
+
+
+def links_into_cycles(docs: DataFrame) -> DataFrame:
+    """Z106: (doc_path, line_no, url) of links, from any page, to a page that lies on a cycle of links."""
+    known = docs.select(F.col("doc_path").alias("target"))
+    rows = page_links(docs).where("outcome = 'ok'").join(known, "target", "left_semi").withColumn("target_url", route_url(F.col("target")))
+    return cycle_links(rows, edges(docs))

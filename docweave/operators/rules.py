@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,7 +106,7 @@ def passive_voice(docs: DataFrame) -> DataFrame:
 
 def weasel_words(docs: DataFrame, words: list[str]) -> DataFrame:
     """Z519: configured words, in any case, as whole words."""
-    return pattern_findings(docs, r"(?i)\b(?:" + "|".join(sorted(words)) + r")\b")
+    return pattern_findings(docs, r"(?i)\b(?:" + "|".join(re.escape(w) for w in sorted(words)) + r")\b")
 
 
 def _each_pattern(lines: DataFrame, patterns: list[str], guard: Column | None = None) -> DataFrame:
@@ -164,14 +166,12 @@ def missing_alt(docs: DataFrame) -> DataFrame:
     return md.unionByName(html)
 
 
+#: One of the generic words, alone or with a number, or a text that begins like ``image of``, within stray marks.
+GENERIC = rf"(?i)^[\s_.:-]*(?:(?:{'|'.join(GENERIC_ALT)})(?:\s+[0-9]+)?[\s_.:-]*$|(?:{'|'.join(GENERIC_ALT_OF)}))"
+
+
 def is_generic_alt(alt: Column) -> Column:
-    clean = strip(F.regexp_replace(F.lower(strip(alt)), r"^[\t\n\f\r _.:-]+|[\t\n\f\r _.:-]+$", ""))
-    words = F.split(clean, r"[\t\n\f\r ]+")
-    numbered = (F.size(words) == 2) & words[0].isin(GENERIC_ALT) & F.regexp_like(F.get(words, F.lit(1)), F.lit("^[0-9]+$"))
-    prefix = F.lit(False)
-    for p in GENERIC_ALT_OF:
-        prefix = prefix | F.startswith(clean, F.lit(p))
-    return (clean != "") & (clean.isin(GENERIC_ALT) | prefix | F.coalesce(numbered, F.lit(False)))
+    return matches(alt, GENERIC)
 
 
 def generic_alt(docs: DataFrame) -> DataFrame:
@@ -238,8 +238,6 @@ SECRET_FAMILIES = [
 
 def obsolete_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Z601: obsolete brand terms as whole words in any case, outside of strict fences (the opening line is read)."""
-    import re
-
     rows = document_lines(docs).where("fence_kind IS NULL OR fence_kind = 'open'")
     pattern = r"(?i)\b(?:" + "|".join(re.escape(t) for t in sorted(terms)) + r")\b"
     return rows.select("doc_path", "line_no", F.posexplode(find_all(F.col("line"), pattern)).alias("ordinal", "match_text"))

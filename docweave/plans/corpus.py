@@ -52,14 +52,17 @@ _LINES: list[tuple[str | None, str]] = [
     ("k % 24 = 0", "concat('first part;', {n}, 'second part;', {n}, 'third part;', {n}, 'the end.')"),
     ("k % 26 = 0", "concat(repeat('word ', 41 + k % 3), 'end. Short one.')"),
     ("k % 33 = 0", "concat('key AKIA', 'ABCDEFGHIJKLMN', lpad(cast(k % 90 + 10 AS {s}), 2, '0'), ' leaked')"),
+    ("k % 34 = 0", "'<a href=\"b.md\" data-route=\"r\" DATA-x=\"1\" aria-label=\"l\" download=\"d\">o</a>'"),
+    ("k % 35 = 0", "concat('<!-- hidden [x](gone.md)', {n}, 'still [y](gone.md) --> seen [z](none.md)')"),
+    ("k % 37 = 0", "'A [ref1] and [unused] by shortcut.'"),
     (None, "'This is very simple, basically.'"),
 ]
 _CUST = [
     "concat('# Customer ', n)",
     "'## S0'",
-    "concat('Go to [a](', (n * 7 + 1) % 60, '.md) and [b](', (n * 3) % 50, '.md#s1).')",
+    "CASE WHEN n = 49 THEN 'No way out.' ELSE concat('Go to [a](', (n * 7 + 1) % 60, '.md) and [b](', (n * 3) % 50, '.md#s1).') END",
     "'## S1'",
-    "CASE WHEN n % 10 = 9 THEN 'Nothing here.' ELSE concat('Back to [home](../index.md) and [order](../orders/', n * 8, '.md).') END",
+    "CASE WHEN n % 10 = 9 THEN 'Nothing [here] or there.' ELSE concat('Back to [home](../index.md) and [order](../orders/', n * 8, '.md).') END",
     "'## S2'",
     "'The end of it.'",
 ]

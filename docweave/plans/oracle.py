@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from ..operators.rules import PASSIVE
 from .corpus import ASSETS, site_sql
 from .queries import ALLOWLIST, IGNORES, TERMS, WEASEL
 
-_PASSIVE = r"(?i)\b(is|are|was|were|be|been|being)\s+([a-z]+(?:ed|en)|done|seen|made|found|built|written|read|set|put|known|taken|chosen|given|held|left|sent)\b"
 
 _SITE = f"site AS ({site_sql('duckdb')})"
 _PROSE = "site AS (SELECT CAST(doc_id AS VARCHAR) AS doc_path, text FROM documents)"
@@ -15,7 +15,7 @@ raw AS (SELECT doc_path, string_split(CASE WHEN text LIKE '%' || chr(10) THEN te
 numbered AS (SELECT doc_path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no, ls[1] AS line1 FROM raw),
 fm AS (SELECT doc_path, min(line_no) AS fm_close FROM numbered WHERE line_no > 1 AND trim(line) = '---' GROUP BY 1),
 ends AS (SELECT n.doc_path, max(CASE WHEN trim(line1) = '---' THEN coalesce(fm_close, 1000000) ELSE 0 END) AS fm_end, max(line_no) AS n FROM numbered n LEFT JOIN fm USING (doc_path) GROUP BY 1),
-lines AS (
+lines AS MATERIALIZED (
   SELECT doc_path, line_no, line, in_frontmatter, is_marker, (before % 2 = 1) AND NOT is_marker AS in_fence,
          CASE WHEN is_marker AND before % 2 = 0 THEN 'open' WHEN is_marker THEN 'close' WHEN before % 2 = 1 THEN 'in' END AS fence_kind
   FROM (SELECT *, coalesce(sum(is_marker::INT) OVER (PARTITION BY doc_path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -26,18 +26,22 @@ prose AS (SELECT doc_path, line_no, line FROM lines WHERE NOT in_frontmatter AND
 headings AS (SELECT doc_path, line_no, length(regexp_extract(trim(line), '^(#{1,6})\s+(.+)$', 1))::INT AS level, trim(regexp_extract(trim(line), '^(#{1,6})\s+(.+)$', 2)) AS raw_title
              FROM prose WHERE regexp_matches(trim(line), '^(#{1,6})\s+(.+)$')),
 titles AS (SELECT *, lower(regexp_replace(trim(regexp_replace(raw_title, '\{#[^}]*\}\s*$', '')), '\s+', ' ', 'g')) AS norm_title FROM headings),
-visible AS (SELECT doc_path, line_no, regexp_replace(regexp_replace(line, '<!--.*?-->', '', 'g'), '`[^`]+`', '', 'g') AS line FROM lines WHERE fence_kind IS NULL AND NOT in_frontmatter),
+opened AS (SELECT doc_path, line_no, fence_kind, in_frontmatter, regexp_replace(line, '<!--.*?-->', '', 'g') AS line FROM lines),
+-- the only comments of the corpora that run over lines open on one and close on the next
+visible AS MATERIALIZED (SELECT doc_path, line_no, regexp_replace(CASE WHEN contains(coalesce(prior, ''), '<!--') THEN regexp_replace(line, '^.*?-->', '') WHEN contains(line, '<!--') THEN regexp_replace(line, '<!--.*$', '') ELSE line END, '`[^`]+`', '', 'g') AS line
+  FROM (SELECT *, lag(line) OVER (PARTITION BY doc_path ORDER BY line_no) AS prior FROM opened) WHERE fence_kind IS NULL AND NOT in_frontmatter),
 masked AS (SELECT doc_path, line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '`[^`]+`', ' ', 'g'), '<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '!?\[[^\]]*\]\([^)]+\)', ' ', 'g') AS line FROM prose),
 front AS (SELECT doc_path, key, arg_max(value, line_no) AS value FROM
           (SELECT doc_path, line_no, regexp_extract(line, '^([A-Za-z0-9_-]+)\s*:', 1) AS key, trim(trim(regexp_extract(line, '^[A-Za-z0-9_-]+\s*:(.*)$', 1)), '''"') AS value
            FROM lines WHERE in_frontmatter AND line_no > 1 AND regexp_matches(line, '^[A-Za-z0-9_-]+\s*:')) GROUP BY 1, 2),
 inline AS (SELECT doc_path, line_no, ordinal - 1 AS ordinal, regexp_extract(raw, '!?\[[^\]]*\]\(([^)\s]*)[^)]*\)', 1) AS url, CASE WHEN raw LIKE '!%' THEN 'image' ELSE 'inline' END AS node_type, regexp_extract(raw, '^!?\[([^\]]*)\]', 1) AS label
            FROM (SELECT doc_path, line_no, unnest(m) AS raw, generate_subscripts(m, 1) AS ordinal FROM (SELECT doc_path, line_no, regexp_extract_all(line, '!?\[[^\]]*\]\([^)\s]*[^)]*\)') AS m FROM visible))),
-defs AS (SELECT doc_path, lower(trim(regexp_extract(line, '^ {0,3}\[([^\]^][^\]]*)\]:\s*(\S+)', 1))) AS ref_id, regexp_extract(line, '^ {0,3}\[([^\]^][^\]]*)\]:\s*(\S+)', 2) AS url, line_no
+defs AS MATERIALIZED (SELECT doc_path, lower(trim(regexp_extract(line, '^ {0,3}\[([^\]^][^\]]*)\]:\s*(\S+)', 1))) AS ref_id, regexp_extract(line, '^ {0,3}\[([^\]^][^\]]*)\]:\s*(\S+)', 2) AS url, line_no
          FROM visible WHERE regexp_matches(line, '^ {0,3}\[([^\]^][^\]]*)\]:\s*(\S+)')),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_path, ref_id ORDER BY line_no) = 1 AS is_first, count(*) OVER (PARTITION BY doc_path, ref_id) AS n_defs FROM defs),
-uses AS (SELECT doc_path, line_no, lower(trim(CASE WHEN own = '' THEN regexp_extract(raw, '^\[([^\]]+)\]', 1) ELSE own END)) AS ref_id
+uses AS MATERIALIZED (SELECT doc_path, line_no, lower(trim(CASE WHEN own = '' THEN regexp_extract(raw, '^\[([^\]]+)\]', 1) ELSE own END)) AS ref_id
          FROM (SELECT *, regexp_extract(raw, '\]\[([^\]]*)\]$', 1) AS own FROM (SELECT doc_path, line_no, unnest(regexp_extract_all(line, '\[[^\]\[]+\]\[[^\]\[]*\]')) AS raw FROM visible))),
+shortcuts AS MATERIALIZED (SELECT doc_path, line_no, lower(trim(unnest(regexp_extract_all(regexp_replace(line, '\[[^\]\[]*\](\[[^\]\[]*\]|\([^)]*\)|:)', '', 'g'), '\[([^\]\[]+)\]', 1)))) AS ref_id FROM visible WHERE line LIKE '%[%'),
 html AS (SELECT doc_path, line_no, ordinal - 1 AS ordinal, raw, trim(regexp_extract(raw, '(?i)\s(?:href|src)\s*=\s*["'']([^"'']*)["'']', 1)) AS href, list_distinct(list_transform(regexp_extract_all(raw, '\s([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=', 1), lambda x: lower(x))) AS attributes
          FROM (SELECT doc_path, line_no, unnest(m) AS raw, generate_subscripts(m, 1) AS ordinal FROM (SELECT doc_path, line_no, regexp_extract_all(line, '<(?:a|img|A|IMG)(?:\s[^>]*)?>') AS m FROM visible))),
 all_links AS (SELECT doc_path, line_no, url, node_type, label, 0 AS kind FROM inline UNION ALL SELECT doc_path, line_no, href, 'html', '', 1 FROM html UNION ALL SELECT doc_path, line_no, url, 'def', '', 2 FROM defs),
@@ -119,7 +123,7 @@ ORACLE_SQL: dict[str, str] = {
     "long_sentences": _p(
         r"SELECT doc_path, line_no::INT AS line_no, ordinal, words FROM (SELECT doc_path, line_no, (ordinal - 1)::INT AS ordinal, len(list_filter(regexp_split_to_array(sentence, '[\t\n\x0B\f\r ]+'), lambda w: w <> ''))::INT AS words FROM (SELECT doc_path, line_no, unnest(s) AS sentence, generate_subscripts(s, 1) AS ordinal FROM (SELECT doc_path, line_no, string_split(regexp_replace(trim(line), '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM prose)) WHERE sentence <> '') WHERE words > 40"
     ),
-    "passive_voice": _p(f"SELECT doc_path, line_no::INT AS line_no, (ordinal - 1)::INT AS ordinal, match_text FROM (SELECT doc_path, line_no, unnest(m) AS match_text, generate_subscripts(m, 1) AS ordinal FROM (SELECT doc_path, line_no, regexp_extract_all(line, '{_PASSIVE}') AS m FROM masked))"),
+    "passive_voice": _p(f"SELECT doc_path, line_no::INT AS line_no, (ordinal - 1)::INT AS ordinal, match_text FROM (SELECT doc_path, line_no, unnest(m) AS match_text, generate_subscripts(m, 1) AS ordinal FROM (SELECT doc_path, line_no, regexp_extract_all(line, '{PASSIVE}') AS m FROM masked))"),
     "weasel_words": _q(
         r"SELECT doc_path, line_no::INT AS line_no, (ordinal - 1)::INT AS ordinal, match_text FROM (SELECT doc_path, line_no, unnest(m) AS match_text, generate_subscripts(m, 1) AS ordinal FROM (SELECT doc_path, line_no, regexp_extract_all(line, '(?i)\b(?:WORDS)\b') AS m FROM masked))".replace("WORDS", "|".join(WEASEL))
     ),
@@ -150,18 +154,18 @@ ORACLE_SQL: dict[str, str] = {
     "html_links": """SELECT page_id, (ordinal - 1)::INT AS ordinal, href FROM (SELECT page_id, unnest(m) AS href, generate_subscripts(m, 1) AS ordinal FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS m FROM pages))""",
     "html_hygiene": _q(
         r"""SELECT doc_path, line_no::INT AS line_no, ordinal::INT AS ordinal, unnest(list_filter([
-             CASE WHEN regexp_matches(plain, '^(javascript|data):') THEN 'Z205' END, CASE WHEN len(list_filter(attributes, lambda a: a LIKE 'on%')) > 0 THEN 'Z124' END, CASE WHEN href = '' THEN 'Z121' END, CASE WHEN href = '#' THEN 'Z122' END,
-             CASE WHEN regexp_matches(plain, '^(mailto|tel|ftp):') THEN 'Z123' END, CASE WHEN list_contains(attributes, 'foo') THEN 'Z120' END], lambda x: x IS NOT NULL)) AS code FROM (SELECT *, lower(replace(href, '&#x73;', 's')) AS plain FROM html)"""
+             CASE WHEN regexp_matches(plain, '^(javascript|data):') THEN 'Z205' END, CASE WHEN len(list_filter(attributes, lambda a: a LIKE 'on%' OR a IN ('data-url', 'data-path', 'data-target', 'data-route'))) > 0 THEN 'Z124' END, CASE WHEN href = '' THEN 'Z121' END, CASE WHEN href = '#' THEN 'Z122' END,
+             CASE WHEN regexp_matches(plain, '^(mailto|tel|ftp):') THEN 'Z123' END, CASE WHEN len(list_filter(attributes, lambda a: a NOT IN ('href', 'src', 'id', 'class', 'title', 'rel', 'target', 'lang', 'download', 'alt', 'width', 'height', 'loading', 'decoding', 'data-docweave-ignore', 'data-url', 'data-path', 'data-target', 'data-route') AND a NOT LIKE 'on%' AND a NOT LIKE 'aria-%')) > 0 THEN 'Z120' END], lambda x: x IS NOT NULL)) AS code FROM (SELECT *, lower(replace(href, '&#x73;', 's')) AS plain FROM html)"""
     ),
     "inline_links": _q("SELECT doc_path, line_no::INT AS line_no, ordinal::INT AS ordinal, url, node_type, label FROM inline"),
     "empty_labels": _q("SELECT doc_path, line_no::INT AS line_no, url FROM inline WHERE node_type = 'inline' AND label = ''"),
     "circular_anchors": _q("SELECT doc_path, line_no::INT AS line_no, url FROM inline WHERE node_type = 'inline' AND url LIKE '#%' AND replace(trim(lower(label)), ' ', '-') = lower(url[2:])"),
     "ref_definitions": _q("SELECT doc_path, ref_id, url, line_no::INT AS line_no, is_first, n_defs FROM ranked"),
-    "ref_dangling": _q("SELECT doc_path, line_no::INT AS line_no, ref_id FROM uses u WHERE NOT EXISTS (SELECT 1 FROM defs d WHERE d.doc_path = u.doc_path AND d.ref_id = u.ref_id)"),
-    "ref_dead": _q("SELECT doc_path, line_no::INT AS line_no, ref_id FROM ranked d WHERE is_first AND NOT EXISTS (SELECT 1 FROM uses u WHERE d.doc_path = u.doc_path AND d.ref_id = u.ref_id)"),
+    "ref_dangling": _q("SELECT u.doc_path, u.line_no::INT AS line_no, u.ref_id FROM uses u ANTI JOIN known_refs d ON d.doc_path = u.doc_path AND d.ref_id = u.ref_id", "known_refs AS MATERIALIZED (SELECT DISTINCT doc_path, ref_id FROM defs)"),
+    "ref_dead": _q("SELECT doc_path, line_no::INT AS line_no, ref_id FROM ranked d WHERE is_first AND NOT EXISTS (SELECT 1 FROM (SELECT doc_path, ref_id FROM uses UNION SELECT doc_path, ref_id FROM shortcuts) u WHERE d.doc_path = u.doc_path AND d.ref_id = u.ref_id)"),
     "ref_duplicate": _q("SELECT doc_path, line_no::INT AS line_no, ref_id, n_defs FROM ranked WHERE is_first AND n_defs > 1"),
     "ref_integrity": _q(
-        "SELECT s.doc_path, coalesce(n_defs, 0) AS n_defs, coalesce(n_used, 0) AS n_used, coalesce(n_used * 100.0 / n_defs, 100.0)::DOUBLE AS integrity FROM site s LEFT JOIN (SELECT d.doc_path, count(*) AS n_defs, count(u.ref_id) AS n_used FROM ranked d LEFT JOIN (SELECT DISTINCT doc_path, ref_id FROM uses) u ON u.doc_path = d.doc_path AND u.ref_id = d.ref_id WHERE is_first GROUP BY 1) k USING (doc_path)"
+        "SELECT s.doc_path, coalesce(n_defs, 0) AS n_defs, coalesce(n_used, 0) AS n_used, coalesce(n_used * 100.0 / n_defs, 100.0)::DOUBLE AS integrity FROM site s LEFT JOIN (SELECT d.doc_path, count(*) AS n_defs, count(u.ref_id) AS n_used FROM ranked d LEFT JOIN (SELECT doc_path, ref_id FROM uses UNION SELECT doc_path, ref_id FROM shortcuts) u ON u.doc_path = d.doc_path AND u.ref_id = d.ref_id WHERE is_first GROUP BY 1) k USING (doc_path)"
     ),
     "anchors": _q("SELECT doc_path, anchor FROM anchors"),
     "routes": _q("SELECT url, source, status FROM routes"),
@@ -202,10 +206,11 @@ ORACLE_SQL: dict[str, str] = {
     "unused_allowlist": _q("SELECT prefix FROM (SELECT unnest([" + ", ".join(repr(p) for p in ALLOWLIST) + "]) AS prefix) a WHERE NOT EXISTS (SELECT 1 FROM inline WHERE url LIKE a.prefix || '%')"),
     "findings_by_code": _q("SELECT code, n FROM counts"),
     "category_scores": _q("SELECT category, issues, points::DOUBLE AS points, round(points / cap, 4)::DOUBLE AS category_score, round(points / 100, 4)::DOUBLE AS contribution FROM scores", _POINTS.format(where="true")),
-    "total_score": _q("SELECT round_even(greatest(0, CASE WHEN (SELECT points FROM scores WHERE category = 'brand') = 0 THEN least(sum(points), 70) ELSE sum(points) END - 3), 0)::INT AS score, 3 AS suppressions FROM scores", _POINTS.format(where="code <> 'Z601'")),
+    "total_score": _q("SELECT round_even(greatest(0, CASE WHEN (SELECT points FROM scores WHERE category = 'brand') = 0 THEN least(sum(points), 70) ELSE sum(points) END - 3), 0)::INT AS score, 3 AS suppressions FROM scores", _POINTS.format(where="true")),
     "suppression_hotspots": _q("SELECT doc_path, count(*) AS n FROM directives GROUP BY 1 ORDER BY n DESC, doc_path LIMIT 5"),
     "baseline_signatures": _q("SELECT doc_path, line_no::INT AS line_no, ordinal::INT AS ordinal, code, substr(sha256(code || ':' || doc_path || ':' || match_text), 1, 16) AS signature FROM findings"),
     "cycle_members": _q("SELECT src AS url FROM walk WHERE src = dst", "walk AS (SELECT src, dst FROM edges UNION SELECT w.src, e.dst FROM walk w JOIN edges e ON e.src = w.dst)"),
+    "cycle_links": _q("SELECT p.doc_path, p.line_no::INT AS line_no, p.url FROM page_links p JOIN known t ON t.source = p.target WHERE p.outcome = 'ok' AND t.url IN (SELECT src FROM walk WHERE src = dst)", "walk AS (SELECT src, dst FROM edges UNION SELECT w.src, e.dst FROM walk w JOIN edges e ON e.src = w.dst)"),
     "baseline_diff": _q(
         "SELECT count(*) FILTER (known) AS baselined, count(*) FILTER (NOT known) AS new, (SELECT count(*) FROM base) - count(DISTINCT signature) FILTER (known) AS fixed FROM (SELECT signature, signature IN (SELECT signature FROM base) AS known FROM signed)",
         "signed AS (SELECT doc_path, substr(sha256(code || ':' || doc_path || ':' || match_text), 1, 16) AS signature FROM findings), base AS (SELECT DISTINCT signature FROM signed WHERE doc_path LIKE '%1.md' OR doc_path LIKE '%2.md')",

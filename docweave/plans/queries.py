@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.documents import Rule, autofix, snippet_errors, user_rules
-from ..functions.text import slug_ascii
 from ..operators import governance, graph, lines, links, rules, score
 from ..sources import sinks
 from ..sources.shipping import ship
@@ -50,6 +49,11 @@ def on_site(f: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf_dir: ship(spark) or f(site(spark, sf_dir), *args)
 
 
+def on_parsed(f: Callable[..., DataFrame], *args) -> Query:
+    """On the site, for what reads its lines several times: they are split once."""
+    return lambda spark, sf_dir: ship(spark) or f(links.prepared(site(spark, sf_dir)), *args)
+
+
 def on_prose(f: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf_dir: f(prose(spark, sf_dir), *args)
 
@@ -77,7 +81,7 @@ QUERIES |= {
     "fence_state": on_site(lambda d: lines.document_lines(d).select("doc_path", "line_no", "in_fence", "is_marker", "in_frontmatter")),
     "frontmatter_map": on_site(lines.frontmatter),
     "headings": on_site(lines.headings),
-    "heading_slugs": on_site(lambda d: lines.headings(d).select("doc_path", "line_no", slug_ascii(F.col("raw_title")).alias("slug"))),
+    "heading_slugs": on_site(links.heading_slugs),
     "heading_hierarchy": on_site(rules.heading_hierarchy),
     "duplicate_headings": on_site(rules.duplicate_headings),
     "multiple_h1": on_site(rules.multiple_h1),
@@ -106,33 +110,34 @@ QUERIES |= {
     "empty_labels": on_site(links.empty_labels),
     "circular_anchors": on_site(links.circular_anchors),
     "ref_definitions": on_site(links.ref_definitions),
-    "ref_dangling": on_site(links.dangling_references),
-    "ref_dead": on_site(links.dead_definitions),
+    "ref_dangling": on_parsed(links.dangling_references),
+    "ref_dead": on_parsed(links.dead_definitions),
     "ref_duplicate": on_site(links.duplicate_definitions),
-    "ref_integrity": on_site(links.reference_integrity),
+    "ref_integrity": on_parsed(links.reference_integrity),
     "anchors": on_site(links.anchors),
     "routes": on_site(lambda d: links.routes(d, nav(d))),
     "route_collisions": on_site(lambda d: links.routes(d.unionByName(d.where("doc_path = 'index.md'").withColumn("doc_path", F.lit("README.md")))).where("status = 'CONFLICT'")),
     "route_digest": on_site(lambda d: links.routes(d).groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources")).select("url", F.sha2(F.concat("url", F.lit(":"), "sources"), 256).alias("digest"))),
     "broken_links": on_site(links.broken_links),
     "orphan_links": on_site(lambda d: links.broken_links(d, nav(d)).where("code = 'Z103'")),
-    "missing_anchors": on_site(links.missing_anchors),
+    "missing_anchors": on_parsed(links.missing_anchors),
     "missing_files": lambda spark, sf_dir: links.missing_files(site(spark, sf_dir), assets(spark)),
     "path_findings": on_site(links.path_findings),
     "unused_assets": lambda spark, sf_dir: links.unused_assets(site(spark, sf_dir), assets(spark)),
     "orphan_pages": on_site(lambda d: links.orphan_pages(d, nav(d))),
     "missing_indexes": on_site(links.missing_indexes),
     "edges": on_site(links.edges),
-    "reachability": on_site(lambda d: graph.reachable(graph.written(links.edges(d)), d.sparkSession.createDataFrame([("/",)], "url string"))),
-    "unreachable": on_site(lambda d: graph.unreachable(links.routes(d), graph.written(links.edges(d)), d.sparkSession.createDataFrame([("/",)], "url string")).select("url")),
+    "reachability": on_site(lambda d: graph.reachable(links.edges(d), d.sparkSession.createDataFrame([("/",)], "url string"))),
+    "unreachable": on_site(lambda d: graph.unreachable(links.routes(d), links.edges(d), d.sparkSession.createDataFrame([("/",)], "url string")).select("url")),
     "dead_ends": on_site(lambda d: graph.dead_ends(links.routes(d), links.edges(d)).select("url")),
     "cycle_members": on_site(lambda d: graph.cycle_members(links.edges(d))),
+    "cycle_links": on_parsed(links.links_into_cycles),
     "suppressions": on_site(lines.suppressions),
-    "suppressions_applied": on_site(lambda d: governance.apply_suppressions(findings(d), lines.suppressions(d))),
-    "dead_suppressions": on_site(lambda d: governance.dead_suppressions(findings(d), lines.suppressions(d))),
-    "per_file_ignores": on_site(lambda d: governance.per_file_ignores(findings(d), IGNORES)),
-    "directory_policies": on_site(lambda d: governance.directory_policies(findings(d), IGNORES, audit=True)),
-    "stale_policies": on_site(lambda d: governance.stale_policies(findings(d), IGNORES)),
+    "suppressions_applied": on_parsed(lambda d: governance.apply_suppressions(findings(d), lines.suppressions(d))),
+    "dead_suppressions": on_parsed(lambda d: governance.dead_suppressions(findings(d), lines.suppressions(d))),
+    "per_file_ignores": on_parsed(lambda d: governance.per_file_ignores(findings(d), IGNORES)),
+    "directory_policies": on_parsed(lambda d: governance.directory_policies(findings(d), IGNORES, audit=True)),
+    "stale_policies": on_parsed(lambda d: governance.stale_policies(findings(d), IGNORES)),
     "required_keys": on_site(governance.required_keys, ["status", "title"]),
     "forbidden_keys": on_site(governance.forbidden_keys, ["internal"]),
     "key_schema": on_site(governance.key_schema, SCHEMA),
@@ -142,11 +147,11 @@ QUERIES |= {
     "namespace_policy": on_site(governance.namespace_policy, NAMESPACES),
     "required_headings": on_site(governance.required_headings, [r"(?i)^notes", r"^Second"]),
     "unused_allowlist": on_site(governance.unused_allowlist, ALLOWLIST),
-    "findings_by_code": on_site(hygiene),
-    "category_scores": on_site(lambda d: score.category_scores(hygiene(d))),
-    "total_score": on_site(lambda d: score.total_score(hygiene(d).where("code <> 'Z601'"), 3)),
+    "findings_by_code": on_parsed(hygiene),
+    "category_scores": on_parsed(lambda d: score.category_scores(hygiene(d))),
+    "total_score": on_parsed(lambda d: score.total_score(hygiene(d), 3)),
     "suppression_hotspots": on_site(lambda d: score.suppression_hotspots(lines.suppressions(d))),
-    "baseline_signatures": on_site(lambda d: governance.with_signatures(findings(d)).select("doc_path", "line_no", "ordinal", "code", "signature")),
+    "baseline_signatures": on_parsed(lambda d: governance.with_signatures(findings(d)).select("doc_path", "line_no", "ordinal", "code", "signature")),
     "baseline_diff": on_site(lambda d: governance.baseline_diff(findings(d), governance.with_signatures(findings(d).where("endswith(doc_path, '1.md') OR endswith(doc_path, '2.md')")))),
 }
 
@@ -168,5 +173,5 @@ QUERIES |= {
     "user_rule": on_site(lambda d: user_rules(d, [NoParcel()])),
     "check_all": lambda spark, sf_dir: check_all(site(spark, sf_dir), None, assets(spark)),
     "site_score": lambda spark, sf_dir: site_score(site(spark, sf_dir), None, assets(spark)),
-    "sarif": on_site(lambda d: sinks.sarif(findings(d).select("doc_path", "line_no", "code", F.lit("warning").alias("severity"), F.col("match_text").alias("message")))),
+    "sarif": on_parsed(lambda d: sinks.sarif(findings(d).select("doc_path", "line_no", "code", F.lit("warning").alias("severity"), F.col("match_text").alias("message")))),
 }
