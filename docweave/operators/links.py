@@ -123,6 +123,11 @@ def route_url(path: Column) -> Column:
     return F.when(~F.regexp_like(path, F.lit(r"\.mdx?$")), F.concat(F.lit("/"), path)).otherwise(F.regexp_replace(url, "^//$", "/"))
 
 
+def page_of(target: Column) -> Column:
+    """The document that a link's target names: a folder, or a path without a type, names its index."""
+    return F.when(target == "", "index.md").when(F.regexp_like(target, F.lit(r"(^|/)[^./]+$")), F.concat(target, F.lit("/index.md"))).otherwise(target)
+
+
 def routes(docs: DataFrame, nav: DataFrame | None = None) -> DataFrame:
     """(url, source, status): CONFLICT where documents share a URL, ORPHAN where a nav is given that lacks the document.
 
@@ -163,7 +168,7 @@ def broken_links(docs: DataFrame, nav: DataFrame | None = None) -> DataFrame:
 
     One left join on the canonical URL; broadcast or shuffled as the planner's size check decides.
     """
-    links = page_links(docs).where("outcome = 'ok' AND NOT is_absolute").withColumn("route", route_url(F.col("target")))
+    links = page_links(docs).where("outcome = 'ok' AND NOT is_absolute").withColumn("route", route_url(page_of(F.col("target"))))
     sites = routes(docs, nav).groupBy("url").agg(F.min("status").alias("status")).withColumnRenamed("url", "route")
     code = F.when(F.col("status").isNull(), "Z101").when(F.col("status") == "ORPHAN", "Z103")
     return links.join(sites, "route", "left").select("doc_path", "line_no", "url", code.alias("code")).where("code IS NOT NULL")
@@ -274,8 +279,8 @@ def edges(docs: DataFrame) -> DataFrame:
     return rows.select(route_url(F.col("doc_path")).alias("src"), route_url(F.col("target")).alias("dst")).distinct()
 
 
-def links_into_cycles(docs: DataFrame) -> DataFrame:
+def links_into_cycles(docs: DataFrame, graph: DataFrame | None = None) -> DataFrame:
     """Z106: (doc_path, line_no, url) of links, from any page, to a page that lies on a cycle of links."""
     known = docs.select(F.col("doc_path").alias("target"))
     rows = page_links(docs).where("outcome = 'ok'").join(known, "target", "left_semi").withColumn("target_url", route_url(F.col("target")))
-    return cycle_links(rows, edges(docs))
+    return cycle_links(rows, edges(docs) if graph is None else graph)

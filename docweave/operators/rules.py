@@ -212,30 +212,6 @@ def document_complexity(docs: DataFrame) -> DataFrame:
     return per.withColumn("complexity", F.floor(F.col("words") / 50) + 2 * F.col("n_headings") + 3 * F.col("max_depth") + 2 * F.col("n_links"))
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """Z201: credential families on every raw line, one finding for each family and line; the literal part guards the regex."""
-    rows = document_lines(docs)
-    line = F.col("line")
-    found = F.filter(
-        F.array(*[F.struct(F.lit(n).alias("family"), F.when(line.contains(guard), first_match(line, p)).otherwise("").alias("match_text")) for n, guard, p in SECRET_FAMILIES]), lambda x: x["match_text"] != ""
-    )
-    return rows.select("doc_path", "line_no", F.explode(found).alias("f")).select("doc_path", "line_no", "f.family", "f.match_text")
-
-
-#: Family, literal that must occur, pattern.
-SECRET_FAMILIES = [
-    ("openai-api-key", "sk-", r"sk-[A-Za-z0-9]{48}"),
-    ("github-token", "gh", r"gh[pousr]_[A-Za-z0-9]{20,}"),
-    ("gitlab-pat", "glpat-", r"glpat-[A-Za-z0-9_-]{20,}"),
-    ("aws-access-key", "AKIA", r"AKIA[0-9A-Z]{16}"),
-    ("stripe-live-key", "sk_live_", r"sk_live_[0-9A-Za-z]{24}"),
-    ("slack-token", "xox", r"xox[baprs]-[0-9A-Za-z-]{10,48}"),
-    ("google-api-key", "AIza", r"AIza[0-9A-Za-z_-]{35}"),
-    ("private-key", "-----BEGIN", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("hex-encoded-payload", "\\x", r"(?:\\x[0-9a-fA-F]{2}){3,}"),
-]
-
-
 def obsolete_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Z601: obsolete brand terms as whole words in any case, outside of strict fences (the opening line is read)."""
     rows = document_lines(docs).where("fence_kind IS NULL OR fence_kind = 'open'")

@@ -29,7 +29,7 @@ _LINES: list[tuple[str | None, str]] = [
     (None, "'## Code'"),
     (None, "CASE WHEN k % 2 = 0 THEN '```' ELSE '```json' END"),
     (None, "CASE WHEN k % 25 = 1 THEN '{\"a\": }' ELSE '{\"a\": 1}' END"),
-    (None, "'# not a heading'"),
+    ("k % 2 = 0", "'# not a heading'"),
     (None, "'```'"),
     (None, "CASE WHEN k % 6 = 0 THEN '![](../img/a.png)' WHEN k % 6 = 1 THEN concat('![screenshot 2](../img/b', k % 5, '.png)') ELSE '![Chart of orders](../img/c.png)' END"),
     ("k % 10 = 0", "concat('Visit https://example.com/p', k % 3, '. Or <https://example.com/q> now.')"),
@@ -51,6 +51,11 @@ _LINES: list[tuple[str | None, str]] = [
     ("k % 18 = 0", "'<a href=\"java&#x73;cript:1\">j</a> <img src=\"../img/a.png\">'"),
     ("k % 24 = 0", "concat('first part;', {n}, 'second part;', {n}, 'third part;', {n}, 'the end.')"),
     ("k % 26 = 0", "concat(repeat('word ', 41 + k % 3), 'end. Short one.')"),
+    ("k % 39 = 0", "concat('openai sk-', repeat('aB3', 16), ' github ghp_', repeat('x9', 12), ' gitlab glpat-', repeat('q_-', 8))"),
+    ("k % 41 = 0", "concat('stripe sk_live_', repeat('4eC', 8), ' slack xoxb-', repeat('12-', 5), ' google AIza', repeat('Sy_-9', 7))"),
+    ("k % 43 = 0", "concat('-----BEGIN RSA PRIVATE', ' KEY----- and ', chr(92), 'x41', chr(92), 'x42', chr(92), 'x43')"),
+    ("k % 46 = 0", "concat('split \"AKIA\" + \"ABCDEFGHIJKLMNOP\" and `glpat-`', repeat('w', 20))"),
+    ("k % 47 = 0", "concat('over AKIA12345678', {n}, '90ABCDEF two lines')"),
     ("k % 33 = 0", "concat('key AKIA', 'ABCDEFGHIJKLMN', lpad(cast(k % 90 + 10 AS {s}), 2, '0'), ' leaked')"),
     ("k % 34 = 0", "'<a href=\"b.md\" data-route=\"r\" DATA-x=\"1\" aria-label=\"l\" download=\"d\">o</a>'"),
     ("k % 35 = 0", "concat('<!-- hidden [x](gone.md)', {n}, 'still [y](gone.md) --> seen [z](none.md)')"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.masks import BLOCK_TAGS
 from ..operators.rules import PASSIVE
 from .corpus import ASSETS, site_sql
 from .queries import ALLOWLIST, IGNORES, TERMS, WEASEL
@@ -103,6 +104,17 @@ def _taken(n: int) -> str:
 
 _ASSETS = "assets AS (SELECT unnest([" + ", ".join(repr(a) for a in ASSETS) + "]) AS rel_path)"
 
+_FAMILY_CASES = [("openai-api-key", r"sk-[A-Za-z0-9]{48}"), ("github-token", r"gh[pousr]_[A-Za-z0-9]{20,}"), ("gitlab-pat", r"glpat-[A-Za-z0-9_-]{20,}"), ("aws-access-key", r"AKIA[0-9A-Z]{16}"), ("stripe-live-key", r"sk_live_[0-9A-Za-z]{24}"),
+    ("slack-token", r"xox[baprs]-[0-9A-Za-z-]{10,48}"), ("google-api-key", r"AIza[0-9A-Za-z_-]{35}"), ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("hex-encoded-payload", r"(?:\\x[0-9a-fA-F]{2}){3,}")]
+_SECRETS = r"""
+clean AS (SELECT doc_path, line_no::INT AS line_no, line, replace(translate(regexp_replace(regexp_replace(line, '<!--.*?-->|/\*.*?\*/', '', 'g'), '["''`]?\s*\+\s*["''`]', '', 'g'), '`', ''), '|', ' ') AS plain FROM lines),
+secret_rows AS (""" + " UNION ALL ".join(f"SELECT doc_path, line_no, '{n}' AS family, coalesce(nullif(regexp_extract(line, '{p}'), ''), regexp_extract(plain, '{p}')) AS match_text FROM clean WHERE regexp_matches(line, '{p}') OR regexp_matches(plain, '{p}')" for n, p in _FAMILY_CASES) + ")"
+_LOCAL = """local_site AS (SELECT * FROM site UNION ALL SELECT 'de/' || doc_path, text FROM site WHERE doc_path LIKE 'cust/%' UNION ALL SELECT regexp_replace(doc_path, '\\.md$', '.fr.md'), text FROM site WHERE doc_path LIKE 'cust/%' UNION ALL SELECT 'de/only.md', text FROM site WHERE doc_path = 'index.md'),
+local_routes AS (SELECT CASE WHEN bare IN ('index', 'README') THEN '/' ELSE '/' || bare || '/' END AS url, doc_path AS source, regexp_replace(regexp_replace(doc_path, '^de/', ''), '\\.fr\\.md$', '.md') AS own FROM (SELECT doc_path, regexp_replace(doc_path, '\\.md$', '') AS bare FROM local_site))"""
+_GRADE = "CASE WHEN code IN ('Z101', 'Z516') THEN 'error' WHEN code = 'Z515' THEN 'info' ELSE 'warning' END"
+_CYCLE = "cyc AS (SELECT src, dst FROM edges UNION SELECT w.src, e.dst FROM cyc w JOIN edges e ON e.src = w.dst)"
+_WALK = "walk AS (SELECT '/' AS url UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.url)"
+
 ORACLE_SQL: dict[str, str] = {
     "lines_explode": _p("SELECT doc_path::BIGINT AS doc_id, line_no::INT AS line_no, line FROM lines"),
     "fence_state": _q("SELECT doc_path, line_no::INT AS line_no, in_fence, is_marker, in_frontmatter FROM lines"),
@@ -129,7 +141,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "placeholders": _q("SELECT doc_path, line_no::INT AS line_no, pattern, match_text FROM marks"),
     "forbidden_content": _p(
-        r"SELECT doc_path, line_no::INT AS line_no, pattern, match_text FROM (SELECT doc_path, line_no, 'password=\S+' AS pattern, regexp_extract(line, 'password=\S+') AS match_text FROM prose UNION ALL SELECT doc_path, line_no, '(?i)\bhello\b', regexp_extract(line, '(?i)\bhello\b') FROM prose) WHERE match_text <> ''"
+        r"SELECT doc_path, line_no::INT AS line_no, pattern, match_text FROM (SELECT doc_path, line_no, 'password\S+' AS pattern, regexp_extract(line, 'password\S+') AS match_text FROM prose UNION ALL SELECT doc_path, line_no, '(?i)\brights\b', regexp_extract(line, '(?i)\brights\b') FROM prose) WHERE match_text <> ''"
     ),
     "custom_rule": _q(
         r"SELECT doc_path, line_no::INT AS line_no, code, severity, message, match_text FROM (SELECT doc_path, line_no, 'ZZ-PARCEL' AS code, 'warning' AS severity, 'say box' AS message, regexp_extract(line, '\bparcel\b') AS match_text FROM lines UNION ALL SELECT doc_path, line_no, 'ZZ-NUM', 'info', 'number', regexp_extract(line, '[0-9]{3,}') FROM lines) WHERE match_text <> ''"
@@ -149,7 +161,7 @@ ORACLE_SQL: dict[str, str] = {
     "document_complexity": _q(
         r"SELECT doc_path, words::BIGINT AS words, n_headings, max_depth, n_links::BIGINT AS n_links, (words // 50 + 2 * n_headings + 3 * max_depth + 2 * n_links)::BIGINT AS complexity FROM (SELECT doc_path, sum(CASE WHEN trim(line) LIKE '#%' THEN 0 ELSE len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) END) AS words, count(nullif(length(regexp_extract(trim(line), '^(#{1,6})\s', 1)), 0)) AS n_headings, greatest(max(length(regexp_extract(trim(line), '^(#{1,6})\s', 1))), 1)::INT AS max_depth, sum(len(regexp_extract_all(line, '\[[^\]]*\]\([^)]+\)'))) AS n_links FROM prose GROUP BY doc_path)"
     ),
-    "secret_scan": _p(r"SELECT doc_path, line_no::INT AS line_no, 'aws-access-key' AS family, regexp_extract(line, 'AKIA[0-9A-Z]{16}') AS match_text FROM lines WHERE regexp_matches(line, 'AKIA[0-9A-Z]{16}')"),
+    "secret_scan": _q("SELECT doc_path, line_no, family, match_text FROM secret_rows", _SECRETS),
     "obsolete_terms": _q("SELECT doc_path, line_no::INT AS line_no, ordinal::INT AS ordinal, match_text FROM terms"),
     "html_links": """SELECT page_id, (ordinal - 1)::INT AS ordinal, href FROM (SELECT page_id, unnest(m) AS href, generate_subscripts(m, 1) AS ordinal FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS m FROM pages))""",
     "html_hygiene": _q(
@@ -216,3 +228,92 @@ ORACLE_SQL: dict[str, str] = {
         "signed AS (SELECT doc_path, substr(sha256(code || ':' || doc_path || ':' || match_text), 1, 16) AS signature FROM findings), base AS (SELECT DISTINCT signature FROM signed WHERE doc_path LIKE '%1.md' OR doc_path LIKE '%2.md')",
     ),
 }
+
+_FOUND = "SELECT doc_path, line_no::INT AS line_no, code, ordinal::INT AS ordinal, match_text FROM findings"
+ORACLE_SQL |= {
+    "split_secrets": _q("SELECT doc_path, line_no::INT AS line_no, 'aws-access-key' AS family, regexp_extract(rtrim(prior) || ltrim(line), 'AKIA[0-9A-Z]{16}') AS match_text FROM (SELECT *, lag(line) OVER (PARTITION BY doc_path ORDER BY line_no) AS prior FROM lines) WHERE prior LIKE 'over AKIA%'"),
+    "forbidden_terms": _q("SELECT doc_path, line_no::INT AS line_no, regexp_extract(line, '(?i)(?:c\\+\\+|key AKIA|packed BY hand)') AS match_text FROM lines WHERE regexp_matches(line, '(?i)(?:c\\+\\+|key AKIA|packed BY hand)') AND NOT regexp_matches(line, 'AKIA[0-9A-Z]{16}')"),
+    "html_depth": _q(
+        r"""SELECT doc_path, line_no::INT AS line_no, coalesce(lag(total - least(0, low)) OVER (PARTITION BY doc_path ORDER BY line_no), 0)::INT AS depth FROM (SELECT *, min(total) OVER (PARTITION BY doc_path ORDER BY line_no) AS low FROM (SELECT doc_path, line_no, sum(step) OVER (PARTITION BY doc_path ORDER BY line_no) AS total FROM (SELECT doc_path, line_no, len(regexp_extract_all(line, '(?i)<(?:TAGS)(?:\s[^>]*)?>')) - len(regexp_extract_all(line, '(?i)</(?:TAGS)\s*>')) AS step FROM prose)))""".replace("TAGS", "|".join(BLOCK_TAGS)),
+        "",
+        "site AS (SELECT CAST(doc_id AS VARCHAR) AS doc_path, replace(text, ' the ', chr(10) || '<div>x' || chr(10) || '</p><section>y</div></div>' || chr(10)) AS text FROM documents)",
+    ),
+    "first_content_line": _q(r"SELECT s.doc_path, coalesce(line_no, 1)::INT AS line_no FROM site s LEFT JOIN (SELECT doc_path, min(line_no) AS line_no FROM lines WHERE NOT in_frontmatter AND trim(regexp_replace(line, '<!--.*?-->', '', 'g')) <> '' AND NOT regexp_matches(trim(line), '^#{1,6}\s') GROUP BY 1) USING (doc_path)"),
+    "utf16_columns": _p(
+        r"SELECT doc_path, line_no::INT AS line_no, (instr(line, word) - 1 + CASE WHEN line_no = 1 AND instr(line, word) > 1 THEN 1 ELSE 0 END)::INT AS col_utf16 FROM (SELECT doc_path, line_no, line, regexp_extract(line, '[a-z]+$') AS word FROM lines) WHERE word <> ''"
+    ).replace("CAST(doc_id AS VARCHAR) AS doc_path, text FROM", "CAST(doc_id AS VARCHAR) AS doc_path, '\U0001F600x ' || text AS text FROM"),
+    "flat_routes": _q("SELECT CASE WHEN doc_path = 'README.md' THEN '/index.html' ELSE '/' || regexp_replace(doc_path, '\\.md$', '.html') END AS url, doc_path AS source, CASE WHEN rel_path IS NULL THEN 'ORPHAN' ELSE 'REACHABLE' END AS status FROM site LEFT JOIN nav ON rel_path = doc_path"),
+    "locale_routes": _q("SELECT url, source, CASE WHEN count(*) OVER (PARTITION BY url) > 1 THEN 'CONFLICT' WHEN own IN (SELECT rel_path FROM nav) THEN 'REACHABLE' ELSE 'ORPHAN' END AS status FROM local_routes", _LOCAL),
+    "entry_points": _q("SELECT DISTINCT url FROM routes WHERE status = 'REACHABLE' OR url = '/'"),
+    "links_of_all_forms": _q("SELECT doc_path, line_no::INT AS line_no, 'inline' AS form, url FROM inline UNION ALL SELECT doc_path, line_no, 'html', href FROM html WHERE href <> '' UNION ALL SELECT r.doc_path, line_no, 'reference', url FROM ranked r JOIN (SELECT doc_path, ref_id FROM uses UNION SELECT doc_path, ref_id FROM shortcuts) u ON u.doc_path = r.doc_path AND u.ref_id = r.ref_id WHERE is_first"),
+    "missing_alternates": "SELECT '/de/' AS link",
+    "missing_declared": "SELECT 'img/favicon.ico' AS rel_path",
+    "virtual_routes": "SELECT '/_virtual/note.md' AS url, 'tmp/note.md' AS source",
+    "topology_delta": _q("SELECT DISTINCT src AS url, 'new' AS change FROM edges WHERE src LIKE '/cust/4%'"),
+    "only_codes": _q(f"{_FOUND} WHERE code IN ('Z516', 'Z303')"),
+    "shown_findings": _q(f"SELECT severity, count(*) AS count FROM (SELECT {_GRADE} AS severity FROM findings) WHERE severity <> 'info' GROUP BY 1"),
+    "quiet_counts": _q(f"SELECT count(DISTINCT doc_path) AS files, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (code IN ('Z201', 'Z203', 'Z204')) AS breaches FROM (SELECT *, {_GRADE} AS severity FROM findings)"),
+    "file_reports": _q(f"SELECT s.doc_path, coalesce(n, 0) AS n_findings, coalesce(e, false) AS has_errors FROM site s LEFT JOIN (SELECT doc_path, count(*) AS n, bool_or({_GRADE} = 'error') AS e FROM findings GROUP BY 1) USING (doc_path)"),
+    "finding_context": _q("SELECT f.doc_path, f.line_no::INT AS line_no, string_agg(CASE WHEN l.line_no = f.line_no THEN '> ' ELSE '  ' END || l.line_no || ' | ' || l.line, chr(10) ORDER BY l.line_no) AS context FROM (SELECT DISTINCT doc_path, line_no FROM findings WHERE code = 'Z516') f JOIN lines l ON l.doc_path = f.doc_path AND abs(l.line_no - f.line_no) <= 2 GROUP BY 1, 2"),
+    "section_counts": _q("SELECT section, count(f.code) AS n FROM (VALUES ('links', 'Z101'), ('links', 'Z103'), ('orphans', 'Z402'), ('snippets', 'Z503'), ('unused_assets', 'Z405'), ('nav_contract', 'Z406'), ('references', 'Z303')) v(section, code) LEFT JOIN findings f USING (code) GROUP BY 1"),
+    "section_lines": _q("SELECT section, count(*) AS n, min('{\"file\":\"' || doc_path || '\",\"line\":' || line_no || ',\"code\":\"' || code || '\",\"match_text\":\"' || match_text || '\"}') AS first FROM findings JOIN (VALUES ('links', 'Z101'), ('links', 'Z103'), ('references', 'Z303')) v(section, code) USING (code) WHERE doc_path LIKE '%2.md' GROUP BY 1"),
+    "first_of_each": _q("SELECT doc_path, code, min(line_no)::INT AS line_no FROM findings GROUP BY 1, 2"),
+    "url_occurrences": _q("SELECT url, count(*) AS n, count(DISTINCT doc_path) AS n_docs, min(doc_path) AS first_path FROM defs WHERE url LIKE 'http%' AND url NOT LIKE 'https://other.%' GROUP BY 1"),
+    "outside_security": _q("SELECT doc_path, line_no::INT AS line_no, url FROM defs WHERE doc_path NOT IN (SELECT doc_path FROM secret_rows)", _SECRETS),
+    "probe_fan_out": _q("SELECT doc_path, line_no::INT AS line_no, url, 404 AS status FROM defs WHERE url = 'https://other.example.org/b'"),
+    "url_cache_reusable": "SELECT CAST(o_orderkey AS VARCHAR) AS url, 200 AS status, o_orderkey % 1000 * 100 AS ts FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 1000 * 100 > 50000",
+    "cache_hit_rate": _q("SELECT count(*) AS docs, count(*) FILTER (text IN (SELECT text FROM site WHERE doc_path LIKE '%2.md')) AS hits, round(count(*) FILTER (text IN (SELECT text FROM site WHERE doc_path LIKE '%2.md')) / count(*), 4) AS rate FROM site"),
+    "stale_cache_paths": _q("SELECT 'gone.md' AS doc_path UNION ALL SELECT doc_path FROM site WHERE doc_path LIKE 'cust/1%'"),
+    "site_counts": _q(f"SELECT count(*) AS docs, {len(ASSETS)}::BIGINT AS assets, sum(strlen(text))::BIGINT AS bytes FROM site"),
+    "score_badge": _q("SELECT 'docs score' AS label, score || '/100' AS message, CASE WHEN score >= 90 THEN 'brightgreen' WHEN score >= 70 THEN 'yellow' WHEN score >= 50 THEN 'orange' ELSE 'red' END AS color FROM (SELECT round_even(greatest(0, CASE WHEN (SELECT points FROM scores WHERE category = 'brand') = 0 THEN least(sum(points), 70) ELSE sum(points) END - 3), 0)::INT AS score FROM scores)", _POINTS.format(where="true")),
+    "audit_report": _q(
+        f"SELECT inline, 3::BIGINT AS per_file, inline + 3 AS debt, CASE WHEN inline + 3 > 30 THEN 'CRITICAL' ELSE 'MANAGED' END AS status, findings, errors, 0::BIGINT AS breaches, inline + 3 <= 30 AS passes FROM (SELECT count(*) AS inline FROM directives), (SELECT count(*) AS findings, count(*) FILTER ({_GRADE} = 'error') AS errors FROM findings)"
+    ),
+    "cap_exceeded": _q("""SELECT '{"error":"suppression-cap-exceeded","n":' || count(*) || ',"cap":1}' AS json FROM directives HAVING count(*) > 1"""),
+    "graph_rule": _q("SELECT doc_path, line_no::INT AS line_no, 'house:HOME' AS code, url AS match_text FROM page_links WHERE outcome = 'ok' AND target = 'index.md'"),
+    "policy_findings": _q(
+        r"""SELECT doc_path, 0 AS line_no, 'Z610' AS code, 'status' AS match_text FROM site WHERE doc_path NOT IN (SELECT doc_path FROM front WHERE key = 'status')
+UNION ALL SELECT doc_path, 0, 'Z612', key FROM front WHERE key = 'internal'
+UNION ALL SELECT doc_path, 0, 'Z613', key FROM front WHERE key = 'status' AND NOT regexp_matches(value, '^(open|done)$')
+UNION ALL SELECT doc_path, line_no, 'Z616', url FROM resolved WHERE kind = 0 AND outcome = 'ok' AND ((doc_path LIKE 'orders/1%' AND (target LIKE 'cust/1%' OR target LIKE 'cust/2%')) OR (doc_path LIKE 'orders/%' AND doc_path NOT LIKE 'orders/1%' AND target LIKE 'cust/3%'))
+UNION ALL SELECT doc_path, 0, 'Z618', '^Second' FROM site WHERE doc_path NOT IN (SELECT doc_path FROM headings WHERE raw_title LIKE 'Second%')
+UNION ALL SELECT doc_path, 0, 'Z619', (words // 50 + 2 * n_headings + 3 * max_depth + 2 * n_links)::BIGINT::VARCHAR FROM (SELECT doc_path, sum(CASE WHEN trim(line) LIKE '#%' THEN 0 ELSE len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) END) AS words, count(nullif(length(regexp_extract(trim(line), '^(#{1,6})\s', 1)), 0)) AS n_headings, greatest(max(length(regexp_extract(trim(line), '^(#{1,6})\s', 1))), 1) AS max_depth, sum(len(regexp_extract_all(line, '\[[^\]]*\]\([^)]+\)'))) AS n_links FROM prose GROUP BY doc_path) WHERE words // 50 + 2 * n_headings + 3 * max_depth + 2 * n_links > 26
+UNION ALL SELECT doc_path, line_no, 'Z519', unnest(regexp_extract_all(line, '(?i)\bvery\b')) FROM masked"""
+    ),
+}
+
+
+def _body(name: str) -> str:
+    """The SELECT of an oracle that needs no tables beyond those of all."""
+    return ORACLE_SQL[name].removeprefix(f"WITH RECURSIVE {_SITE}, {_LINES} ")
+
+
+def _part(name: str, code: str, match: str = "''", line: str = "line_no", path: str = "doc_path", body: str | None = None) -> str:
+    return f"SELECT {path} AS doc_path, {line} AS line_no, {code} AS code, {match} AS match_text FROM ({body or _body(name)})"
+
+
+_SHORT = "SELECT * FROM (SELECT doc_path, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?s)\\A---\\n.*?\\n---(\\n|\\z)', ''), '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> '')) AS words FROM site) WHERE words < 50"
+_ALL = " UNION ALL ".join([
+    _part("", "CASE WHEN status IS NULL THEN 'Z101' ELSE 'Z103' END", "url", body="SELECT * FROM hits WHERE status IS NULL OR status = 'ORPHAN'"), _part("missing_anchors", "'Z102'", "url"), _part("path_findings", "code", "url"), _part("circular_anchors", "'Z107'", "url"),
+    _part("empty_labels", "'Z108'", "url"), _part("html_hygiene", "code"), _part("", "'Z104'", "url", body="SELECT * FROM resolved WHERE kind = 0 AND node_type = 'image' AND outcome = 'ok' AND target NOT IN (SELECT rel_path FROM assets) AND target NOT IN (SELECT doc_path FROM site)"),
+    _part("", "'Z301'", "ref_id", body="SELECT u.* FROM uses u ANTI JOIN known_refs d ON d.doc_path = u.doc_path AND d.ref_id = u.ref_id"), _part("ref_dead", "'Z302'", "ref_id"), _part("ref_duplicate", "'Z303'", "ref_id"),
+    _part("placeholders", "'Z501'", "match_text"), _part("", "'Z502'", line="1", body=_SHORT), _part("untagged_code", "'Z505'"), _part("malformed_frontmatter", "'Z506'"), _part("heading_hierarchy", "'Z510'"),
+    _part("", "'Z511'", body=ORACLE_SQL["long_sentences"].removeprefix(f"WITH RECURSIVE {_PROSE}, {_LINES} ")), _part("empty_sections", "'Z512'"), _part("duplicate_headings", "'Z513'", "norm_title"), _part("generic_alt", "'Z514'", "alt"),
+    _part("bare_urls", "'Z515'", "url"), _part("multiple_h1", "'Z516'"), _part("heading_punctuation", "'Z517'"), _part("fake_lists", "'Z520'"), _part("missing_alt", "'Z403'"), _part("", "'Z201'", "family", body="SELECT * FROM secret_rows"),
+    # of the site's blocks that are checked, those of JSON, one line says whether they parse
+    _part("", "'Z503'", body="SELECT doc_path, line_no - 1 AS line_no FROM lines WHERE fence_kind = 'in' AND line = '{\"a\": }' AND doc_path IN (SELECT doc_path FROM lines WHERE line = '```json')"),
+    _part("missing_indexes", "'Z401'", line="0", path="folder"), _part("", "'Z410'", line="0", path="source", body="SELECT source FROM known WHERE url NOT IN (SELECT url FROM walk)"), _part("", "'Z411'", line="0", path="source", body="SELECT source FROM known WHERE url NOT IN (SELECT src FROM edges)"),
+    _part("", "'Z106'", "url", body="SELECT p.* FROM page_links p JOIN known t ON t.source = p.target WHERE p.outcome = 'ok' AND t.url IN (SELECT src FROM cyc WHERE src = dst)"), _part("orphan_pages", "'Z402'", line="0", path="rel_path"), _part("", "'Z405'", line="0", path="rel_path", body="SELECT rel_path FROM assets EXCEPT SELECT target FROM resolved WHERE outcome = 'ok'"),
+])
+_CHECK = f"""{_ASSETS}, {_SECRETS}, known_refs AS MATERIALIZED (SELECT DISTINCT doc_path, ref_id FROM defs), {_WALK}, {_CYCLE},
+every AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_path, line_no, code ORDER BY match_text) AS rn FROM ({_ALL})),
+unspent AS (SELECT s.* FROM spent s ANTI JOIN every f ON s.doc_path = f.doc_path AND s.line_no = f.line_no AND s.code = f.code AND s.rn = f.rn),
+left_over AS (SELECT f.doc_path, f.line_no, f.code, (f.rn - 1)::INT AS ordinal, f.match_text FROM every f ANTI JOIN spent s ON s.doc_path = f.doc_path AND s.line_no = f.line_no AND s.code = f.code AND s.rn = f.rn AND s.code NOT IN ('Z110', 'Z111', 'Z201', 'Z202', 'Z203', 'Z204', 'Z205')
+  UNION ALL SELECT DISTINCT doc_path, line_no, 'Z603', 0, '' FROM unspent)"""
+_ERRORS = "'Z101', 'Z102', 'Z104', 'Z105', 'Z107', 'Z108', 'Z121', 'Z124', 'Z201', 'Z202', 'Z203', 'Z204', 'Z205', 'Z301', 'Z503', 'Z506', 'Z516', 'Z613', 'Z614', 'Z616'"
+ORACLE_SQL["check_all"] = _q(
+    f"SELECT doc_path, line_no::INT AS line_no, code, ordinal, match_text, CASE WHEN code IN ({_ERRORS}) THEN 'error' WHEN code IN ('Z106', 'Z123', 'Z401') THEN 'info' ELSE 'warning' END AS severity FROM left_over WHERE code IN ('Z110', 'Z111', 'Z201', 'Z202', 'Z203', 'Z204', 'Z205') OR NOT ({' OR '.join(_taken(n) for n in range(len(IGNORES)))})",
+    _CHECK,
+)
+# credentials and paths that escape are among the site's findings, and any one of them makes the score nothing
+ORACLE_SQL["site_score"] = _q("SELECT CASE WHEN bool_or(code IN ('Z201', 'Z202', 'Z203', 'Z205')) THEN 0 END::INT AS score, (SELECT count(*) FROM directives)::INT AS suppressions FROM left_over", _CHECK)
