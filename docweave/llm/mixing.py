@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, add_sketches, null_safe, numbered, sketch_rows, unused
+from .common import Scratch, add_sketches, null_safe, numbered, only_rows, sketch_rows, unused
 from .features import NAMES, standardise, text_stats
 from .pu_quality import _adam
 from .textbytes import distinct_per_row
@@ -285,8 +285,6 @@ def apply_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """The rows of ``docs``, each as often as its copies say; all their columns, of any names, as they are. Edge cases as in ``mix``."""
     scratch = Scratch(docs.sparkSession)
     rows, row_no = numbered(scratch, docs)
-    times = _mixture(rows, row_no, labels, targets, 1.0, scratch).rows.where("copies <> 1")
-    copies, one = unused("copies", rows), unused("one", rows)
-    times = times.select(F.col("row_no").alias(row_no), F.col("copies").cast("int").alias(copies))
-    joined = rows.join(times, row_no, "left").withColumn(one, F.explode(F.array_repeat(F.lit(1), F.coalesce(F.col(copies), F.lit(1)))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rates of at most 1 make no second copies, so a row stays or goes
+    gone = _mixture(rows, row_no, labels, targets, 1.0, scratch).rows.where("copies < 1").select("row_no")
+    return only_rows(rows, row_no, gone, keep=False).select(*[F.col(f"`{c}`") for c in docs.columns])

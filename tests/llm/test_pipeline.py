@@ -130,3 +130,29 @@ def test_run(spark, tables):
         out = stage(spark, docs, tables)
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), tables).count() == 0, name
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stages_that_drop_rows_leave_the_texts_where_they_are(spark):
+    from docweave.llm import mixing, ngram_join
+
+    docs = spark.createDataFrame([(i % 40, f"some words that make a text of number {i % 30} and no other", "en", "web", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    for out in (ngram_join.keep_one_of_each(docs), mixing.apply_mixture(docs, labels)):
+        assert "Exchange" not in plan(out) and "Join" not in plan(out)
+        assert out.columns == docs.columns
+
+
+def test_rows_are_chosen_by_bits_in_several_blocks(spark, monkeypatch):
+    from docweave.llm import common
+
+    monkeypatch.setattr(common, "BLOCKS", 2)
+    numbers = [p << 33 | i for p in range(5) for i in (0, 1, 7, 65535, 65536, 200000)]
+    rows = spark.createDataFrame([(n, f"t{n}") for n in numbers], "`row no` long, text string").repartition(3)
+    for some in (numbers[::3], numbers[1:2], [], numbers):
+        chosen = spark.createDataFrame([(n,) for n in some], "n long")
+        assert sorted(r[0] for r in common.only_rows(rows, "row no", chosen).collect()) == sorted(some)
+        assert sorted(r[0] for r in common.only_rows(rows, "row no", chosen, keep=False).collect()) == sorted(set(numbers) - set(some))
