@@ -101,8 +101,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = lambda g: int(1_000_000 * min(1.0, SAMPLE / max(1, n.get(g, 0))))
     picked = ids.where(drawn < F.when(F.col("good"), share(True)).otherwise(share(False))).distinct()
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "good").mapInArrow(_features, "good boolean, x array<float>")
-    p, u = (_matrix(rows.where(F.col("good") == g).limit(int(1.2 * SAMPLE)).collect()) for g in (True, False))
+    # about SAMPLE ids of each kind at most, so they are broadcast and no text is shuffled
+    rows = lambda g: docs.select("doc_id", "text").join(F.broadcast(picked.where(F.col("good") == g)), "doc_id").select("text", "good").mapInArrow(_features, "good boolean, x array<float>")
+    p, u = (_matrix(rows(g).limit(int(1.2 * SAMPLE)).collect()) for g in (True, False))
     return Model(p, u if len(u) else p) if len(p) else None
 
 

@@ -365,3 +365,20 @@ def test_containment_equals_quadratic():
         left = list(first.values())
         want = sorted((s, e, x.label) for s, e, x in left if not any(o is not x and a <= s and e <= b and (a, b) != (s, e) and o.priority <= x.priority for a, b, o in left))
         assert sorted((s, e, label) for s, e, label, _ in licenses.suppress(found)) == want
+
+
+def test_quality_sample_shuffles_no_text(spark, monkeypatch):
+    from docweave.llm import pu_quality
+
+    docs = spark.createDataFrame([(i, f"a text of number {i}, as good as any") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 3)], "doc_id long, quality int")
+    plans, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert pu_quality.fit_quality(docs, labels) is not None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    texts = [p for p in plans if "MapInArrow" in p]
+    assert len(texts) == 2 and all("BroadcastHashJoin" in p for p in texts)
