@@ -28,6 +28,8 @@ def written(df: DataFrame) -> DataFrame:
 
 #: Edges of a graph that one task takes in whole (two numbers each, about 100 MB with its arrays); larger ones go round by round.
 SMALL_GRAPH = 4_000_000
+#: Edges, neighbours by the name of their source, whose components are contracted in one task before a larger graph goes round by round.
+CHUNK = 500_000
 
 
 def _in_one_task(edges: DataFrame, start: DataFrame, search, schema: str) -> DataFrame:
@@ -74,11 +76,11 @@ def _depths(n: int, src: np.ndarray, dst: np.ndarray, start: np.ndarray):
     return seen, depth[seen]
 
 
-def _on_cycles(n: int, src: np.ndarray, dst: np.ndarray, _):
-    """Nodes of strongly connected components of several nodes, and those that link to themselves (Tarjan's algorithm with a stack of its own)."""
+def _parts(n: int, src: np.ndarray, dst: np.ndarray) -> list[list[int]]:
+    """The strongly connected components of several nodes (Tarjan's algorithm with a stack of its own)."""
     begin, to = _neighbours(n, src, dst)
     begin, to = begin.tolist(), to.tolist()
-    index, low, on, stack, found, count = [-1] * n, [0] * n, [False] * n, [], set(src[src == dst].tolist()), 0
+    index, low, on, stack, found, count = [-1] * n, [0] * n, [False] * n, [], [], 0
     for root in range(n):
         if index[root] >= 0:
             continue
@@ -109,11 +111,49 @@ def _on_cycles(n: int, src: np.ndarray, dst: np.ndarray, _):
                 for w in part:
                     on[w] = False
                 if len(part) > 1:
-                    found.update(part)
-    own = np.array(sorted(found), np.int64)
+                    found.append(part)
+    return found
+
+
+def _on_cycles(n: int, src: np.ndarray, dst: np.ndarray, _):
+    """Nodes of strongly connected components of several nodes, and those that link to themselves."""
+    own = np.array(sorted(set(src[src == dst].tolist()).union(*_parts(n, src, dst))), np.int64)
     return own, np.zeros(len(own), np.int64)
 
 
+def _local_parts(batches):
+    """(url, part) of the components that lie within ``CHUNK`` edges in a row: part is the component's smallest URL."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def parts(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        names = pc.unique(t.column("src")).sort()
+        src, dst = (pc.index_in(t.column(x), value_set=names) for x in ("src", "dst"))
+        within = dst.is_valid().to_numpy()
+        found = _parts(len(names), src.to_numpy()[within], dst.drop_null().to_numpy())
+        url = [i for p in found for i in p]
+        least = [i for p in found for i in [min(p)] * len(p)]
+        return pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (url, least)], ["url", "part"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= CHUNK:
+            yield parts(held)
+            held, n = [], 0
+    if n:
+        yield parts(held)
+
+
+def _contracted(edges: DataFrame, local: DataFrame) -> DataFrame:
+    """The edges between what the components (url, part) come to, each once."""
+    for end in ("src", "dst"):
+        edges = edges.join(local.select(F.col("url").alias(end), "part"), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
+    return edges.where("src <> dst").select("src", "dst").distinct()
+
+
 def _last(stack: list[int], v: int) -> int:
     i = len(stack) - 1
     while stack[i] != v:
@@ -156,18 +196,25 @@ def dead_ends(routes: DataFrame, edges: DataFrame) -> DataFrame:
 def cycle_members(edges: DataFrame) -> DataFrame:
     """(url) of the nodes that lie on a cycle.
 
-    Nodes without an incoming or an outgoing edge are trimmed until none is left; what remains lies on cycles or between
+    A graph of at most ``SMALL_GRAPH`` edges, counted first, is searched in one task. Of a larger one, components of pages whose URLs lie
+    near each other are found by chunks and contracted, each to one node; then nodes without an incoming or an outgoing edge are trimmed
+    until none is left or the rest is small. What remains lies on cycles or between
     them. Of that core, colours (the largest node that reaches a node) are spread forward, and a node is on the
     cycle of its colour if it reaches that colour's own node backward; found parts are taken out and the rest goes on, until
-    nothing is left. A graph of at most ``SMALL_GRAPH`` edges, counted first, is searched in one task.
+    nothing is left.
     """
     edges = written(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    if edges.count() <= SMALL_GRAPH:
-        return _in_one_task(edges, edges.select(F.col("src").alias("url")).limit(0), _on_cycles, "url string, value int").select("url")
-    core = written(edges.where("src <> dst"))
-    loops = edges.where("src = dst").select(F.col("src").alias("url")).distinct()
-    found = None
+    n = edges.count()
+    if n <= SMALL_GRAPH:
+        return _whole(edges)
+    loops = edges.where("src = dst").select(F.col("src").alias("url"))
+    local = written(edges.repartitionByRange(n // CHUNK + 1, "src").sortWithinPartitions("src").mapInArrow(_local_parts, "url string, part string"))
+    core = written(_contracted(edges, local))
+    found = loops.unionByName(local.select("url"))
     while (core := _trim(core)).take(1):
+        if core.count() <= SMALL_GRAPH:
+            found = found.unionByName(_whole(core))
+            break
         colour = written(core.select(F.col("src").alias("url")).unionByName(core.select(F.col("dst").alias("url"))).distinct().withColumn("colour", F.col("url")))
         while True:
             push = core.join(colour.withColumnRenamed("url", "src"), "src").groupBy(F.col("dst").alias("url")).agg(F.max("colour").alias("more"))
@@ -179,15 +226,19 @@ def cycle_members(edges: DataFrame) -> DataFrame:
         roots = colour.where("url = colour").select("url")
         back = reachable(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("url")
         on = written(back.join(same.select(F.col("dst").alias("url")).distinct(), "url", "left_semi"))
-        found = on if found is None else found.unionByName(on)
+        found = found.unionByName(on)
         core = written(core.join(back.withColumnRenamed("url", "src"), "src", "left_anti").join(back.withColumnRenamed("url", "dst"), "dst", "left_anti"))
-    return loops if found is None else loops.unionByName(found).distinct()
+    return found.distinct()
+
+
+def _whole(edges: DataFrame) -> DataFrame:
+    return _in_one_task(edges, edges.select(F.col("src").alias("url")).limit(0), _on_cycles, "url string, value int").select("url")
 
 
 def _trim(core: DataFrame) -> DataFrame:
-    """Edges whose source has an incoming and whose target an outgoing edge, to the fixed point."""
+    """Edges whose source has an incoming and whose target an outgoing edge, to the fixed point or until they are few."""
     n = core.count()
-    while n:
+    while n > SMALL_GRAPH:
         core = written(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         m = core.count()
         if m == n:
